@@ -12,8 +12,10 @@ so a range of ids is read by seeking to its blocks and unpacking them with numpy
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -47,6 +49,8 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
 _PLAIN = re.compile("[^\t-\r -~¡-±´-¸º»¿-ɏ‐-‧€]")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _OPEN: dict[str, "Encoder"] = {}
+#: Characters of texts whose pieces are looked up together.
+SPAN = 1 << 22
 
 
 class Encoder:
@@ -56,9 +60,10 @@ class Encoder:
     pieces are kept (:data:`KEPT` at most) and only others are encoded anew.
     """
 
-    KEPT = 400_000
+    KEPT = 1_000_000
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -77,22 +82,35 @@ class Encoder:
         return _OPEN[path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> np.ndarray:
-        if not self.by_piece or _PLAIN.search(text):
-            return np.frombuffer(self._whole([text])[0], "<u4")
-        out, it = [], (m.group() for m in _PIECE.finditer(text)) if len(text) > 1 << 22 else iter(_PIECE.findall(text))
-        while pieces := list(islice(it, 1 << 18)):
-            got = list(map(self.kept.get, pieces))
-            if None in got:
-                new = list({p for p, g in zip(pieces, got) if g is None})
-                ids = dict(zip(new, self._whole(new)))
-                if len(self.kept) + len(ids) <= self.KEPT:
-                    self.kept |= ids
-                got = [ids[p] if g is None else g for p, g in zip(pieces, got)]
-            out += got
-        return np.frombuffer(b"".join(out), "<u4")
+        return [array("I", e.ids).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, lists: list[list[str]]) -> list[bytes]:
+        got = [list(map(self.kept.get, pieces)) for pieces in lists]
+        new = list({p for pieces, g in zip(lists, got) if None in g for p, x in zip(pieces, g) if x is None})
+        ids = dict(zip(new, self._whole(new))) if new else {}
+        if len(self.kept) < self.KEPT:
+            self.kept |= dict(islice(ids.items(), self.KEPT - len(self.kept)))
+        return [b"".join([ids[p] if x is None else x for p, x in zip(pieces, g)] if None in g else g) for pieces, g in zip(lists, got)]
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text; misses of several texts go to the tokenizer together."""
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j]) <= SPAN):
+                size += len(texts[j])
+                j += 1
+            part = texts[i:j]
+            plain = [bool(self.by_piece and not _PLAIN.search(t)) for t in part]
+            if len(part) == 1 and plain[0] and size > SPAN:  # a very long text, piece by piece
+                it = (m.group() for m in _PIECE.finditer(part[0]))
+                yield np.frombuffer(b"".join(self._joined([p])[0] for p in iter(lambda: list(islice(it, 1 << 18)), [])), "<u4")
+            else:
+                done = iter(self._joined([_PIECE.findall(t) for t, p in zip(part, plain) if p]))
+                rest = iter(self._whole([t for t, p in zip(part, plain) if not p]))
+                for p in plain:
+                    yield np.frombuffer(next(done if p else rest), "<u4")
+            i = j
 
 
 @dataclass
@@ -131,9 +149,9 @@ class TokenWriter(DataSourceArrowWriter):
 
             for b in iterator:
                 names = b.schema.names
-                ids_of, texts = b.column(names.index("doc_id")).to_pylist(), b.column(names.index("text"))
-                for d, t in zip(ids_of, texts):
-                    got = np.concatenate([enc.encode(t.as_py() or ""), tail])
+                ids_of, texts = b.column(names.index("doc_id")).to_pylist(), [t or "" for t in b.column(names.index("text")).to_pylist()]
+                for d, own in zip(ids_of, enc.encode(texts)):
+                    got = np.concatenate([own, tail])
                     docs.append(d or 0)
                     has.append(d is not None)
                     sizes.append(len(got))
