@@ -195,7 +195,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, see
     parts = placed.where("size > 0").select("d", "z", "h", "rn", "off", "size", F.col("source_no").cast("long").alias("source_no"), F.explode(F.sequence(F.floor(F.col("off") / L), F.floor((F.col("off") + F.col("size") - 1) / L))).alias("block"))
     lo = F.greatest(F.col("block") * L, F.col("off"))
     hi = F.least(F.col("block") * L + F.col("words"), F.col("off") + F.col("size"))
-    pieces = parts.join(slots, ["source_no", "block"]).where(hi > lo).select("d", "z", "h", "rn", "shard", "turn", "slot", (lo - F.col("off")).alias("lo"), (hi - F.col("off")).alias("hi"))
+    # a slot's row count is not in the plan's estimates, so without the hint the whole mix would be sent round
+    pieces = parts.join(slots.hint("merge"), ["source_no", "block"]).where(hi > lo).select("d", "z", "h", "rn", "shard", "turn", "slot", (lo - F.col("off")).alias("lo"), (hi - F.col("off")).alias("hi"))
     return placed, slots, pieces
 
 
