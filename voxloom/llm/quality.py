@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize
 
-#: Rows the forest is grown on (those of the smallest hashes of doc_id), its trees and the rows of each.
+#: Rows the forest is grown on at most (by a hash of doc_id and text), its trees and the rows of each.
 FIT_ROWS, TREES, TREE_ROWS = 8192, 100, 256
 #: The most labelled good documents, of a thousand, that the forest may reject.
 LOST_PER_MILLE = 2
@@ -120,18 +120,14 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.feature) / self.norm)
 
 
-def judged(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lost_per_mille: int = LOST_PER_MILLE) -> DataFrame:
-    """Per row of ``docs``: doc_id, key d, z, h, the base counts, base_failed, anomaly, kept.
-
-    kept is false where the rules fail, or where the anomaly score is above the
-    threshold: the lowest that loses at most ``lost_per_mille`` of the labelled good
-    documents (quality 1) that pass the rules. Without such labels the forest rejects
-    nothing. Labels of unknown documents or of null quality do not count. Null texts
-    have no words and fail. Repeated rows are judged alike.
-    """
+def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int, lost_per_mille: int):
+    """(scored rows, the broadcast forest, the highest bin that is kept)."""
     st = materialize(statistics(docs), "quality-stats")
     pool = st.where(~F.col("base_failed"))
-    fit = pool.orderBy(F.xxhash64("d"), "h").limit(fit_rows).select(*FEATURES).toArrow()
+    # the hash's cut leaves about fit_rows rows in all, so no task sends the driver as many of its own
+    cut = int(min(1.0, fit_rows / max(1, pool.count())) * (1 << 30)) + 1
+    few = pool.where(F.pmod(F.xxhash64("d", "h"), F.lit(1 << 30)) < cut)
+    fit = few.orderBy(F.xxhash64("d"), "h").limit(fit_rows).select(*FEATURES).toArrow()
     x = np.stack([fit[c].to_numpy() for c in FEATURES], axis=1) if fit.num_rows else np.zeros((0, len(FEATURES)))
     forest = st.sparkSession.sparkContext.broadcast(IsolationForest(x))
 
@@ -150,12 +146,39 @@ def judged(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lost_pe
         if above * 1000 > total * lost_per_mille:
             top = r["bin"]
             break
-    odd = (F.col("bin") > top) if by_bin else F.lit(False)
+    return scored, forest, top
+
+
+def judged(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lost_per_mille: int = LOST_PER_MILLE) -> DataFrame:
+    """Per row of ``docs``: doc_id, key d, z, h, the base counts, base_failed, anomaly, kept.
+
+    kept is false where the rules fail, or where the anomaly score is above the
+    threshold: the lowest that loses at most ``lost_per_mille`` of the labelled good
+    documents (quality 1) that pass the rules. Without such labels the forest rejects
+    nothing. Labels of unknown documents or of null quality do not count. Null texts
+    have no words and fail. Repeated rows are judged alike.
+    """
+    scored, _, top = fitted(docs, labels, fit_rows, lost_per_mille)
+    odd = F.col("bin") > top
     return scored.select("doc_id", "d", "z", "h", *BASE, "base_failed", (F.col("bin") / BINS).alias("anomaly"), (~F.col("base_failed") & ~odd).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`judged` rejects."""
-    bad = judged(docs, labels).where("not kept").selectExpr("d as _vl_d", "z as _vl_z", "h as _vl_h").distinct()
-    d = docs.withColumns({"_vl_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_vl_z": F.isnull("doc_id"), "_vl_h": F.xxhash64("text")})
-    return d.join(bad, ["_vl_d", "_vl_z", "_vl_h"], "left_anti").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lost_per_mille: int = LOST_PER_MILLE) -> DataFrame:
+    """``docs`` without the rows that :func:`judged` rejects.
+
+    A second pass over the texts applies the fitted forest, so no text is shuffled.
+    """
+    _, forest, top = fitted(docs, labels, fit_rows, lost_per_mille)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            got = [rule_statistics(None if x is None else x.encode()) for x in b.column(at).cast(pa.string()).to_pylist()]
+            base = np.array([g[0] for g in got], np.int64).reshape(-1, len(BASE))
+            feat = np.array([g[1] for g in got], np.float64).reshape(-1, len(FEATURES))
+            n, again = base[:, 0], base[:, BASE.index("n_repeat_words")]
+            ok = (n >= 10) & (100 * again <= 20 * n) & (np.round(forest.value.score(feat) * BINS).astype(np.int64) <= top)
+            yield b.filter(pa.array(ok))
+
+    bound_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
