@@ -124,3 +124,51 @@ def test_line_report(spark):
     out = {(r.doc_id, r.text) for r in dedup_lines(df).collect()}
     assert {(3, "x"), (1, f"{b}\n\n \ny"), (None, "own line here"), (5, ""), (2, None)} <= out
     assert line_report(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot,spanning", [(64, False), (4, False), (4, True)])
+def test_lines_edits_by_length(spark, hot, spanning):
+    """One edit in ten code points, up to four; numbered lines and common starts make hot segments."""
+    from voxloom.llm.line_dedup import EDITS, LEAST, PER, line_links
+
+    rng = random.Random(hot)
+    lines = {f"copyright notice of the page number {k:04d} of all" for k in rng.sample(range(10_000), 60)}
+    lines |= {"a start that very many lines have in common " + " ".join(prose(rng, 3)) for _ in range(40)}
+    for _ in range(30):
+        base = "".join(rng.choice("abcdé 日") for _ in range(rng.randrange(18, 80)))
+        for _ in range(5):
+            x = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                k = rng.randrange(len(x))
+                rng.choice([lambda: x.insert(k, "q"), lambda: x.__setitem__(k, "w"), lambda: x.pop(k)])()
+            lines.add("".join(x))
+    lines = sorted(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    got = {tuple(sorted(r)) for r in line_links(df, hot=hot, per=PER, spanning=spanning).collect()}
+    want = set()
+    for j, y in enumerate(lines):
+        for i, x in enumerate(lines[:j]):
+            n = min(len(x), len(y))
+            if n >= LEAST and lev(x, y, min(EDITS, n // PER)) <= min(EDITS, n // PER):
+                want.add((i, j))
+    assert len([p for p in want if lev(lines[p[0]], lines[p[1]], 1) > 1]) > 100
+    if not spanning:
+        assert got == want
+        return
+
+    def classes(pairs):
+        root = list(range(len(lines)))
+        for i, j in sorted(pairs):
+            a, b = root[i], root[j]
+            root = [a if r == b else r for r in root]
+        return {frozenset(i for i in range(len(lines)) if root[i] == r) for r in set(root)}
+
+    assert got <= want and classes(got) == classes(want)
+
+
+def test_line_report_edits(spark):
+    from voxloom.llm.line_dedup import line_report
+
+    rows = [(1, "A inglysh outionat in er, ntoush lyonen and more of the words it had."), (2, "A inglysh outionat in tion ntoush lyonen and more of the words it had."), (3, "a short line of words 12"), (4, "a short line of words 98")]
+    got = {r.doc_id: r.component_id for r in line_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3}
