@@ -172,3 +172,42 @@ def test_line_report_edits(spark):
     rows = [(1, "A inglysh outionat in er, ntoush lyonen and more of the words it had."), (2, "A inglysh outionat in tion ntoush lyonen and more of the words it had."), (3, "a short line of words 12"), (4, "a short line of words 98")]
     got = {r.doc_id: r.component_id for r in line_report(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def common_words(a, b, least=49):
+    """Places of ``a`` in runs of ``least`` words or more that ``b`` holds too."""
+    out, row = set(), [0] * (len(b) + 1)
+    for i, x in enumerate(a):
+        row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        n = max(row)
+        if n >= least:
+            out |= set(range(i - n + 1, i + 1))
+    return out
+
+
+def test_passages_whole(spark):
+    """Every word of a common passage, by a search of all runs."""
+    from voxloom.llm.substring_dedup import dedup_passages, substring_report
+
+    rng = random.Random(11)
+    rows = []
+    for n in (49, 50, 60, 60, 75, 100, 200):
+        p = prose(rng, n)
+        longer = prose(rng, 15) + p + prose(rng, 12)
+        for q in (p, longer, longer, p):
+            rows.append((len(rows), prose(rng, rng.randrange(100, 160)) + q + prose(rng, rng.randrange(100, 160))))
+    got_rows = [(d, " ".join(w)) for d, w in rows]
+    df = spark.createDataFrame(got_rows, SCHEMA)
+    got = {r.doc_id: r for r in substring_report(df).collect()}
+    out = {r.doc_id: r.text.split() for r in dedup_passages(df).collect()}
+    for d, w in rows:
+        mates = [(e, v) for e, v in rows if e != d and e // 4 == d // 4]
+        some = set().union(*(common_words(w, v) for _, v in mates))
+        gone = set().union(*(common_words(w, v) for e, v in mates if e < d))
+        # a paragraph that hangs over an end by a word or two is similar enough (or by a chain of links) to count whole
+        assert len(some) <= got[d].n_repeated <= len(some) + 2
+        assert len(gone) <= got[d].n_removed <= len(gone) + 2 * bool(gone)
+        at, end = min(gone, default=0), max(gone, default=-1) + 1
+        cuts = [(i, j) for i in range(3) for j in range(3 - i)]
+        assert out[d] in [w[: at - i] + w[end + j :] for i, j in cuts] if gone else out[d] == w
+        assert got[d].component_id == d - d % 4

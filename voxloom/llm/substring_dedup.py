@@ -6,7 +6,9 @@ Wilkerson and Aiken) picks a start: the smallest five-word shingle hash of every
 words or more therefore have a common paragraph, wherever the passage stands. Distinct
 paragraphs are banded, those that collide are compared by the exact Jaccard similarity of
 their shingle sets, links (a spanning forest for each bucket) are clustered by connected
-components, and of each cluster all but the first copy is marked for removal.
+components, and of each cluster all but the first copy is marked for removal. Paragraphs of
+a cluster are extended word by word to the whole passage that another document holds too:
+within a passage of 49 words, starts are at most WINDOW apart, so REACH words suffice.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .words import mix, shingles, words
 PARAGRAPH, WINDOW, SHINGLE, SIMILARITY = 20, 30, 5, 0.8
 #: At similarity 0.8 five bands of two rows find a pair with probability 1 - (1 - 0.8**2)**5 = 0.994.
 BANDS, ROWS = 5, 2
+#: Words beside a paragraph by which it may grow on either side.
+REACH = WINDOW - 1
 #: Paragraphs of one bucket that a task compares at once; a larger bucket is cut into a grid.
 CELL = 2048
 #: Bits of the map of paragraphs that collide, whatever their number: 4 MB to each executor.
@@ -41,12 +45,18 @@ def paragraph_starts(sh: np.ndarray, n_words: int) -> np.ndarray:
     return np.unique(np.concatenate(best))
 
 
-def paragraphs(text: bytes | None) -> tuple[int, np.ndarray, np.ndarray]:
-    """(number of words, starts, shingle hashes of each paragraph, one row each)."""
+def _cut(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, starts, shingle hashes of each paragraph, one row each)."""
     h = words((text or b"").lower())[2]
     sh = shingles(h, SHINGLE)
     at = paragraph_starts(sh, len(h))
-    return len(h), at, sh[at[:, None] + np.arange(PARAGRAPH - SHINGLE + 1)] if len(at) else np.zeros((0, PARAGRAPH - SHINGLE + 1), np.uint64)
+    return h, at, sh[at[:, None] + np.arange(PARAGRAPH - SHINGLE + 1)] if len(at) else np.zeros((0, PARAGRAPH - SHINGLE + 1), np.uint64)
+
+
+def paragraphs(text: bytes | None) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number of words, starts, shingle hashes of each paragraph, one row each)."""
+    h, at, sets = _cut(text)
+    return len(h), at, sets
 
 
 def _pid(sets: np.ndarray) -> np.ndarray:
@@ -107,6 +117,101 @@ def _jaccard_forest(pid: np.ndarray, sets: np.ndarray, similarity: float) -> lis
     return out
 
 
+def _bitmap(pids: DataFrame):
+    """The broadcast map of BITS bits with those of ``pids`` set."""
+    words_of = F.expr(f"cast(pmod(pid, {BITS}) / 64 as int)")
+    got = pids.select(words_of.alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pid, {BITS}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(BITS // 64, np.uint64)
+    bits[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
+    return pids.sparkSession.sparkContext.broadcast(bits)
+
+
+def _marked(bits: np.ndarray, pid: np.ndarray) -> np.ndarray:
+    pos = pid & np.uint64(BITS - 1)
+    return (bits[(pos >> np.uint64(6)).astype(np.int64)] >> (pos & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _beside(h: np.ndarray, at: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Word hashes before and after the paragraphs at ``at``, outwards, REACH of them at most."""
+    return [h[max(0, p - REACH) : p][::-1].tobytes() for p in at], [h[p + PARAGRAPH : p + PARAGRAPH + REACH].tobytes() for p in at]
+
+
+def _common(group: np.ndarray, d: np.ndarray, h: np.ndarray, beside: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row: words that it has in common with a row of its group of another document, with one of
+    a smaller d, and the smallest d of those (its own where there is none)."""
+    size = np.array([len(x) // 8 for x in beside])
+    first = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(beside), np.uint64)
+    doc = mix(mix(d.view(np.uint64)) + h.view(np.uint64))
+    any_, less, least = np.zeros(len(d), np.int64), np.zeros(len(d), np.int64), d.copy()
+    prefix, left = group.view(np.uint64).copy(), np.arange(len(d))
+    for k in range(REACH):
+        left = left[size[left] > k]
+        if not len(left):
+            break
+        prefix[left] = mix(prefix[left] * np.uint64(0x9E3779B97F4A7C15) + flat[first[left] + k])
+        left = left[np.argsort(prefix[left], kind="stable")]
+        new = np.r_[True, prefix[left][1:] != prefix[left][:-1]]
+        at, run = np.flatnonzero(new), np.cumsum(new) - 1
+        shared = (np.minimum.reduceat(doc[left], at) != np.maximum.reduceat(doc[left], at))[run]
+        low = np.minimum.reduceat(d[left], at)[run]
+        any_[left[shared]] = k + 1
+        gone = low < d[left]
+        less[left[gone]], least[left[gone]] = k + 1, low[gone]
+        left = left[shared]
+    return any_, less, least
+
+
+def extended(docs: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Spans d, h, start, end, first, gone: the paragraphs ``repeats`` and what other documents have beside them too.
+
+    gone: a document of smaller d, ``first``, holds the span too.
+    """
+    marked = _bitmap(repeats.select("pid").distinct())
+    root_of = materialize(repeats.select("pid", "root").distinct(), "substring-roots")
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            out = [[] for _ in range(6)]
+            for d, h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
+                hashes, at, sets = _cut(x.as_py())
+                if not len(at):
+                    continue
+                pid = _pid(sets)
+                m = _marked(marked.value, pid)
+                n = int(m.sum())
+                for o, new in zip(out, ([d] * n, [h] * n, pid[m].view(np.int64).tolist(), at[m].tolist(), *_beside(hashes, at[m]))):
+                    o += new
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["d", "h", "pid", "pos", "before", "after"])
+
+    held = _source(docs).mapInArrow(run, "d long, h long, pid long, pos long, before binary, after binary").join(root_of, "pid")
+    # rows of one group have the word next to the paragraph in common
+    side = lambda c, at: F.struct(F.xxhash64("root", F.lit(c), F.expr(f"substring({c}, 1, 8)")).alias("key"), F.col(c).alias("s"), at.alias("at"), F.lit(-1 if c == "before" else 1).alias("way"))
+    sides = held.select("d", "h", F.explode(F.array(side("before", F.col("pos")), side("after", F.col("pos") + PARAGRAPH))).alias("x")).select(F.col("x.key").alias("key"), "d", "h", F.col("x.at").alias("at"), F.col("x.way").cast("long").alias("way"), F.col("x.s").alias("s")).where("length(s) > 0")
+
+    def columns(b):
+        beside = np.empty(b.num_rows, object)
+        beside[:] = b.column(5).to_pylist()
+        longs = [b.column(i).to_numpy() for i in range(5)]
+        return [longs[0], longs[0], *longs[1:], beside]
+
+    def grow(batches):
+        for key, _, d, h, at, way, beside in _grouped(batches, columns):
+            any_, less, least = _common(key, d, h, beside)
+            for n, gone in ((any_, False), (less, True)):
+                m = n > 0
+                far = at[m] + way[m] * n[m]
+                first = least[m] if gone else np.where(less[m] > 0, least[m], d[m])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (d[m], h[m], np.minimum(at[m], far), np.maximum(at[m], far), first, np.full(len(far), gone)))], ["d", "h", "start", "end", "first", "gone"])
+
+    # the batch size is read when the plan runs, for both functions
+    grown = sides.repartition("key").sortWithinPartitions("key").mapInArrow(grow, "d long, h long, start long, end long, first long, gone boolean")
+    own = repeats.select("d", "h", F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end"), F.col("first_d").alias("first"), F.expr("d <> first_d").alias("gone"))
+    return materialize(own.union(grown).distinct(), "substring-spans")
+
+
 def paragraph_links(docs: DataFrame, occurrences: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """Spanning (u, v) links among distinct paragraphs whose shingle sets are that similar."""
     spark = docs.sparkSession
@@ -130,12 +235,7 @@ def paragraph_links(docs: DataFrame, occurrences: DataFrame, similarity: float =
     distinct = occurrences.groupBy("pid").agg(*[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
     banded = distinct.select(F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"), "pid")
     hits = materialize(banded.repartition("band").sortWithinPartitions("band").mapInArrow(colliding, "band long, pid long"), "substring-hits")
-    pids = hits.select("pid").distinct()
-    words_of = F.expr(f"cast(pmod(pid, {BITS}) / 64 as int)")
-    got = pids.select(words_of.alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pid, {BITS}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(BITS // 64, np.uint64)
-    bits[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
-    marked = spark.sparkContext.broadcast(bits)
+    marked = _bitmap(hits.select("pid").distinct())
 
     def sets_of(batches):
         for b in batches:
@@ -145,8 +245,7 @@ def paragraph_links(docs: DataFrame, occurrences: DataFrame, similarity: float =
                 if not len(at):
                     continue
                 pid = _pid(sets)
-                pos = pid & np.uint64(BITS - 1)
-                m = (marked.value[(pos >> np.uint64(6)).astype(np.int64)] >> (pos & np.uint64(63))) & np.uint64(1) == 1
+                m = _marked(marked.value, pid)
                 out_p.append(pid[m].view(np.int64))
                 out_s += [r.tobytes() for r in sets[m]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_p) if out_p else np.zeros(0, np.int64)), pa.array(out_s, pa.binary())], ["pid", "s"])
@@ -188,7 +287,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[
     """(occurrences, repeats, documents).
 
     occurrences: d, h, n_words, pid, pos, of all paragraphs, and one row with null pid per row of
-    ``docs``. repeats: d, h, pos, cluster, first (d and pos of the copy that stays), for the
+    ``docs``. repeats: d, h, pos, pid, size, root (the cluster), first_d (of the copy that stays), for the
     paragraphs of clusters that occur in two documents or more. documents: d, h, n_words per row.
     """
     bound_batches(docs.sparkSession)
@@ -209,7 +308,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[
     occ = materialize(_source(docs).mapInArrow(run, ", ".join(f"{c} long" for c in names)), "substring-paragraphs")
     par = occ.where("pid is not null")
     roots = connected_components(materialize(paragraph_links(docs, par, similarity), "substring-links"))
-    named = par.select("d", "h", "pos", "pid").join(roots.withColumnRenamed("node", "pid"), "pid", "left").select("d", "h", "pos", F.coalesce("root", "pid").alias("root"))
+    named = par.select("d", "h", "pos", "pid").join(roots.withColumnRenamed("node", "pid"), "pid", "left").select("d", "h", "pos", "pid", F.lit(PARAGRAPH).alias("size"), F.coalesce("root", "pid").alias("root"))
     # first by (d, pos), in plain longs, so that the aggregation stays in generated code
     per = named.groupBy("root").agg(F.min("d").alias("first_d"), F.max("d").alias("last_d"), F.min("h").alias("h1"), F.max("h").alias("h2")).where("first_d <> last_d or h1 <> h2").select("root", "first_d")
     per = materialize(per, "substring-clusters")
@@ -218,18 +317,17 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[
 
 
 def _covered(rows: DataFrame, name: str) -> DataFrame:
-    """d, h and the number of words that paragraphs at ``pos`` cover."""
-    w = Window.partitionBy("d", "h").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("pos") + PARAGRAPH
-    fresh = F.greatest(F.lit(0), end - F.greatest("pos", F.coalesce(F.max(end).over(w), F.lit(0))))
+    """d, h and the number of words that the spans cover."""
+    w = Window.partitionBy("d", "h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(w), F.lit(0))))
     return rows.withColumn("_n", fresh).groupBy("d", "h").agg(F.sum("_n").alias(name))
 
 
 def substring_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_repeated, n_removed, component_id, first_docs.
 
-    n_repeated: words in passages that other documents hold too; n_removed: those of them
-    whose cluster has its first copy in another document (the smallest doc_id keeps its own).
+    n_repeated: words in passages that other documents hold too, to the last common word; n_removed:
+    those of them that a document of smaller doc_id holds too.
     first_docs: the doc_ids that keep the document's passages, itself among them where it
     does. component_id: the smallest of first_docs, or the document itself if nothing repeats.
 
@@ -238,9 +336,10 @@ def substring_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     other row holds it. Rows that agree in doc_id and text count as one document here.
     """
     _, rep, rows = repeated_passages(docs, similarity)
-    some = _covered(rep.select("d", "h", "pos").distinct(), "n_repeated")
-    gone = _covered(rep.where("d <> first_d").select("d", "h", "pos").distinct(), "n_removed")
-    firsts = rep.groupBy("d", "h").agg(F.array_sort(F.collect_set("first_d")).alias("f"))
+    rep = extended(docs, rep)
+    some = _covered(rep.select("d", "h", "start", "end").distinct(), "n_repeated")
+    gone = _covered(rep.where("gone").select("d", "h", "start", "end").distinct(), "n_removed")
+    firsts = rep.groupBy("d", "h").agg(F.array_sort(F.collect_set("first")).alias("f"))
     out = rows.join(some, ["d", "h"], "left").join(gone, ["d", "h"], "left").join(firsts, ["d", "h"], "left")
     null = 2**63 - 1
     mine = F.nullif("d", F.lit(null))
@@ -254,7 +353,7 @@ def substring_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
 def dedup_passages(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with every repeated passage cut out of all texts but its first."""
     _, rep, _ = repeated_passages(docs, similarity)
-    cuts = rep.where("d <> first_d").groupBy("d", "h").agg(F.array_sort(F.collect_set("pos")).alias("_vl_cut")).withColumnsRenamed({"d": "_vl_d", "h": "_vl_h"})
+    cuts = extended(docs, rep).where("gone").groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("_vl_cut")).withColumnsRenamed({"d": "_vl_d", "h": "_vl_h"})
     d = docs.withColumns({"_vl_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_vl_h": F.xxhash64("text")})
     cols = docs.columns
     j = d.join(cuts, ["_vl_d", "_vl_h"], "left").select(*cols, "_vl_cut")
@@ -270,8 +369,8 @@ def dedup_passages(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
                     s, e, _ = words(raw.lower())
                     gone = np.zeros(len(s) + 1, np.int64)
                     for p in pos:
-                        gone[p] += 1
-                        gone[p + PARAGRAPH] -= 1
+                        gone[p["start"]] += 1
+                        gone[p["end"]] -= 1
                     on = np.flatnonzero(np.diff(np.r_[0, np.cumsum(gone)[:-1] > 0, 0]))
                     out, last = [], 0
                     for x, y in zip(on[::2], on[1::2]):
