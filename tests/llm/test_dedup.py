@@ -211,3 +211,31 @@ def test_passages_whole(spark):
         cuts = [(i, j) for i in range(3) for j in range(3 - i)]
         assert out[d] in [w[: at - i] + w[end + j :] for i, j in cuts] if gone else out[d] == w
         assert got[d].component_id == d - d % 4
+
+
+def test_short_texts(spark):
+    """Exact copies of any length, and near-copies by the Jaccard similarity of their shingles."""
+    from voxloom.llm.substring_dedup import SIMILARITY, WHOLE, dedup_passages, substring_report
+
+    rng = random.Random(17)
+    rows, want = [], {}
+    for n in [1, 2, 4, 5, 6, 12, 19, 20, 21, 35, 49, 50, 60, 80, WHOLE - 1] * 2:
+        p = prose(rng, n)
+        q = list(p)
+        q[n // 2] = f"changed{len(rows)}"
+        grams = [{tuple(x[i : i + 5]) for i in range(n - 4)} for x in (p, q)]
+        near = n >= 5 and len(grams[0] & grams[1]) >= SIMILARITY * len(grams[0] | grams[1])
+        first = len(rows)
+        for w in (p, p, q):
+            want[len(rows)] = (n, w is not q or near, first)
+            rows.append((len(rows), " ".join(w)))
+    assert len({t for _, t in rows}) == 60
+    df = spark.createDataFrame([*rows, (-1, ""), (-2, None), (-3, "? !")], SCHEMA)
+    got = {r.doc_id: r for r in substring_report(df).collect()}
+    out = {r.doc_id: r.text for r in dedup_passages(df).collect()}
+    for d, (n, whole, first) in want.items():
+        if whole:
+            assert (got[d].n_repeated, got[d].n_removed, got[d].component_id) == (n, n * (d != first), first)
+            assert len(brute.words(out[d])) == n * (d == first)
+    assert [got[d].n_repeated for d in (-1, -2, -3)] == [0, 0, 0] and out[-2] is None and out[-3] == "? !"
+    assert sum(whole and d % 3 == 2 for d, (_, whole, _) in want.items()) >= 8

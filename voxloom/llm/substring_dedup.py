@@ -9,6 +9,8 @@ their shingle sets, links (a spanning forest for each bucket) are clustered by c
 components, and of each cluster all but the first copy is marked for removal. Paragraphs of
 a cluster are extended word by word to the whole passage that another document holds too:
 within a passage of 49 words, starts are at most WINDOW apart, so REACH words suffice.
+A text of fewer than ``WHOLE`` words is one more paragraph as a whole, so that short texts
+and near-copies of them are compared too.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .words import mix, shingles, words
 PARAGRAPH, WINDOW, SHINGLE, SIMILARITY = 20, 30, 5, 0.8
 #: At similarity 0.8 five bands of two rows find a pair with probability 1 - (1 - 0.8**2)**5 = 0.994.
 BANDS, ROWS = 5, 2
+#: Words from which a text is no paragraph as a whole.
+WHOLE = 100
 #: Words beside a paragraph by which it may grow on either side.
 REACH = WINDOW - 1
 #: Paragraphs of one bucket that a task compares at once; a larger bucket is cut into a grid.
@@ -53,10 +57,25 @@ def _cut(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, at, sh[at[:, None] + np.arange(PARAGRAPH - SHINGLE + 1)] if len(at) else np.zeros((0, PARAGRAPH - SHINGLE + 1), np.uint64)
 
 
-def paragraphs(text: bytes | None) -> tuple[int, np.ndarray, np.ndarray]:
-    """(number of words, starts, shingle hashes of each paragraph, one row each)."""
-    h, at, sets = _cut(text)
-    return len(h), at, sets
+def _whole(h: np.ndarray) -> np.ndarray | None:
+    """Shingle hashes of a short text as one paragraph; a text of PARAGRAPH words is one already."""
+    if 0 < len(h) < WHOLE and len(h) != PARAGRAPH:
+        return shingles(h, min(SHINGLE, len(h)))
+    return None
+
+
+def _padded(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(one row each, with the first value repeated at the end, their sizes)."""
+    size = np.array([len(x) for x in sets], np.int64)
+    out = np.repeat(np.array([x[0] for x in sets], np.uint64)[:, None], size.max(initial=1), axis=1)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    return out, size
+
+
+def _whole_pid(sets: np.ndarray, size: np.ndarray) -> np.ndarray:
+    place = np.arange(sets.shape[1], dtype=np.uint64)
+    each = mix(sets + mix(place + np.uint64(1)))
+    return mix(np.where(place < size[:, None].astype(np.uint64), each, np.uint64(0)).sum(axis=1, dtype=np.uint64) + size.astype(np.uint64))
 
 
 def _pid(sets: np.ndarray) -> np.ndarray:
@@ -239,15 +258,23 @@ def paragraph_links(docs: DataFrame, occurrences: DataFrame, similarity: float =
 
     def sets_of(batches):
         for b in batches:
-            out_p, out_s = [], []
+            out_p, out_s, short = [], [], []
             for x in b.column(0).cast(pa.binary()):
-                _, at, sets = paragraphs(x.as_py())
+                h, at, sets = _cut(x.as_py())
+                whole = _whole(h)
+                if whole is not None:
+                    short.append(whole)
                 if not len(at):
                     continue
                 pid = _pid(sets)
                 m = _marked(marked.value, pid)
                 out_p.append(pid[m].view(np.int64))
                 out_s += [r.tobytes() for r in sets[m]]
+            if short:
+                pid = _whole_pid(*_padded(short))
+                m = _marked(marked.value, pid)
+                out_p.append(pid[m].view(np.int64))
+                out_s += [short[i].tobytes() for i in np.flatnonzero(m)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_p) if out_p else np.zeros(0, np.int64)), pa.array(out_s, pa.binary())], ["pid", "s"])
 
     bound_batches(spark)
@@ -257,15 +284,18 @@ def paragraph_links(docs: DataFrame, occurrences: DataFrame, similarity: float =
     rows = hits.join(held, "pid").join(hot, "band", "left").withColumn("i", F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("pid"), F.col("m"))))
     grid = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda j: F.least(j, F.col("i")) * F.col("m") + F.greatest(j, F.col("i")))
     cells = rows.select("band", F.explode(F.when(F.col("m").isNotNull(), grid).otherwise(F.array(F.lit(-1).cast("long")))).alias("cell"), "pid", "s")
-    width = PARAGRAPH - SHINGLE + 1
 
     def columns(b):
-        raw = b"".join(b.column(3).to_pylist())
-        return [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), np.frombuffer(raw, np.uint64).reshape(-1, width)]
+        sets = np.empty(b.num_rows, object)
+        sets[:] = b.column(3).to_pylist()
+        return [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), sets]
 
     def links(batches):
-        for band, cell_no, pid, sets in _grouped(batches, columns):
+        for band, cell_no, pid, raw in _grouped(batches, columns):
             start = np.r_[0, np.flatnonzero((np.diff(band) != 0) | (np.diff(cell_no) != 0)) + 1]
+            size = np.array([len(x) // 8 for x in raw])
+            sets = np.zeros((len(raw), size.max()), np.uint64)
+            sets[np.arange(sets.shape[1]) < size[:, None]] = np.frombuffer(b"".join(raw), np.uint64)
             sets = np.sort(sets, axis=1)
             sets[:, 1:][sets[:, 1:] == sets[:, :-1]] = 0
             top = np.uint64(2**64 - 1)
@@ -286,29 +316,36 @@ def paragraph_links(docs: DataFrame, occurrences: DataFrame, similarity: float =
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(occurrences, repeats, documents).
 
-    occurrences: d, h, n_words, pid, pos, of all paragraphs, and one row with null pid per row of
+    occurrences: d, h, n_words, pid, pos, size, of all paragraphs, and one row with null pid per row of
     ``docs``. repeats: d, h, pos, pid, size, root (the cluster), first_d (of the copy that stays), for the
     paragraphs of clusters that occur in two documents or more. documents: d, h, n_words per row.
     """
     bound_batches(docs.sparkSession)
-    names = ["d", "h", "n_words", "pid", "pos", *[f"b{i}" for i in range(BANDS)]]
+    names = ["d", "h", "n_words", "pid", "pos", "size", *[f"b{i}" for i in range(BANDS)]]
 
     def run(batches):
         for b in batches:
-            n, at, sets = zip(*(paragraphs(x.as_py()) for x in b.column(2).cast(pa.binary())))
+            h, at, sets = zip(*(_cut(x.as_py()) for x in b.column(2).cast(pa.binary())))
+            n = np.array([len(x) for x in h], np.int64)
             many = np.array([len(a) for a in at])
+            wholes = [_whole(x) for x in h]
             allsets = np.concatenate(sets)
-            bands = _bands(allsets).view(np.int64)
-            i = np.repeat(np.arange(len(n)), many)
-            d, h, n = b.column(0).to_numpy(), b.column(1).to_numpy(), np.array(n, np.int64)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (d[i], h[i], n[i], _pid(allsets).view(np.int64), np.concatenate(at))), *(pa.array(bands[:, k]) for k in range(BANDS))], names)
+            i, j = np.repeat(np.arange(len(n)), many), np.array([k for k, x in enumerate(wholes) if x is not None], np.int64)
+            d, h = b.column(0).to_numpy(), b.column(1).to_numpy()
+            kinds = [(i, _pid(allsets), np.concatenate(at), np.full(len(i), PARAGRAPH), _bands(allsets))]
+            if len(j):
+                short, size = _padded([wholes[k] for k in j])
+                kinds.append((j, _whole_pid(short, size), np.zeros(len(j), np.int64), n[j], _bands(short)))
+            for k, pid, pos, size, bands in kinds:
+                longs = (d[k], h[k], n[k], pid.view(np.int64), pos, size, *bands.view(np.int64).T)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in longs], names)
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (d, h, n)), *[none] * (2 + BANDS)], names)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (d, h, n)), *[none] * (3 + BANDS)], names)
 
     occ = materialize(_source(docs).mapInArrow(run, ", ".join(f"{c} long" for c in names)), "substring-paragraphs")
     par = occ.where("pid is not null")
     roots = connected_components(materialize(paragraph_links(docs, par, similarity), "substring-links"))
-    named = par.select("d", "h", "pos", "pid").join(roots.withColumnRenamed("node", "pid"), "pid", "left").select("d", "h", "pos", "pid", F.lit(PARAGRAPH).alias("size"), F.coalesce("root", "pid").alias("root"))
+    named = par.select("d", "h", "pos", "pid", "size").join(roots.withColumnRenamed("node", "pid"), "pid", "left").select("d", "h", "pos", "pid", "size", F.coalesce("root", "pid").alias("root"))
     # first by (d, pos), in plain longs, so that the aggregation stays in generated code
     per = named.groupBy("root").agg(F.min("d").alias("first_d"), F.max("d").alias("last_d"), F.min("h").alias("h1"), F.max("h").alias("h2")).where("first_d <> last_d or h1 <> h2").select("root", "first_d")
     per = materialize(per, "substring-clusters")
@@ -331,7 +368,7 @@ def substring_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     first_docs: the doc_ids that keep the document's passages, itself among them where it
     does. component_id: the smallest of first_docs, or the document itself if nothing repeats.
 
-    Words are lower-cased runs of letters and digits; null texts and texts of fewer than 20 words have no
+    Words are lower-cased runs of letters and digits; null texts and texts without words have no
     paragraphs. Rows without doc_id come last, and one of them keeps a passage only if no
     other row holds it. Rows that agree in doc_id and text count as one document here.
     """
