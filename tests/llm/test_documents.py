@@ -252,3 +252,21 @@ def test_quality_odd(spark):
     assert judged(empty(spark), labels).count() == 0
     assert judged(odd(spark), labels.limit(0)).where("not kept and not base_failed").count() == 0
     assert keep_good(odd(spark), labels).columns == odd(spark).columns
+
+
+def test_quality_rejects_junk(spark):
+    """Most labelled bad rows go and good ones stay, on labels that the forest has not seen."""
+    from voxloom.llm.quality import held_out, judged, threshold
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = [held_out(docs, labels, fold=k) for k in range(2)]
+    n = {k: sum(g[k] for g in got) for k in got[0]}
+    assert n["bad"] >= 5 and n["bad_rejected"] >= 0.8 * n["bad"] and n["good_rejected"] <= 0.03 * n["good"], n
+    rows = judged(docs, labels).join(labels, "doc_id").where("not base_failed")
+    bad = rows.where("quality = 0").selectExpr("count(*) as n", "count_if(not kept) as gone").first()
+    assert bad.gone >= 0.9 * bad.n
+    # no cut beyond the loss allowed, and none further than bad rows ask for
+    assert threshold([(90, 0, 5), (80, 1, 5), (70, 999, 0)], 0) == 85
+    assert threshold([(90, 1, 0), (80, 999, 0)], 2) == 80
+    assert threshold([(90, 0, 5)], 2) > 10_000

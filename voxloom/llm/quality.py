@@ -2,12 +2,14 @@
 
 The rules fail short and repetitive documents. The rest is judged by an isolation
 forest (Liu, Ting and Zhou): random splits isolate odd rows early, so short paths mean
-anomalies. Trees are grown on a bounded sample of rows; the threshold on the score
-comes from all labelled rows.
+anomalies. Trees are grown on a bounded sample of labelled good rows, but cut the range of
+all rows, so that junk falls into empty parts even where it is common. The threshold on the
+score comes from all labelled rows, good and bad.
 """
 
 from __future__ import annotations
 
+import operator
 from collections import Counter
 
 import numpy as np
@@ -25,11 +27,12 @@ BINS = 10_000
 
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _SYMBOLS = b"#*$%&|<>"
+_ONE_SYMBOL = bytes(0x23 if c in _SYMBOLS else c for c in range(256))
 _TAIL = bytes(range(0x80, 0xC0))
 _UPPER = bytes(range(0x41, 0x5B))
 _LETTER = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _DIGIT = bytes(range(0x30, 0x3A))
-FEATURES = ("f_words", "f_word_chars", "f_symbols", "f_dup_lines", "f_repeats", "f_upper", "f_letters", "f_digits", "f_distinct")
+FEATURES = ("f_words", "f_word_chars", "f_symbols", "f_dup_lines", "f_repeats", "f_upper", "f_letters", "f_digits", "f_distinct", "f_symbol_words", "f_symbol_lines", "f_doubled")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -54,9 +57,15 @@ def rule_statistics(text: bytes | None) -> tuple[list[int], list[float]]:
     chars, m = len(inside), max(1, n)
     part = lambda table: (len(b) - len(b.translate(None, table))) / max(1, chars)
     letters = part(_LETTER) if chars else 0.0
+    symbol_words = symbol_lines = 0
+    if symbols:
+        one = b.translate(_ONE_SYMBOL)
+        symbol_words = sum(b"#" in x for x in one.split())
+        symbol_lines = sum(b"#" in x for x in one.split(b"\n"))
     return [n, chars, symbols, dup, repeats], [
         float(np.log1p(n)), chars / m, symbols / m, dup / max(1, len(lines)), repeats / m,
         part(_UPPER), letters, part(_DIGIT), len(set(w)) / m ** 0.8,
+        float(np.sqrt(symbol_words / m)), symbol_lines / max(1, len(lines)), float(np.sqrt(sum(map(operator.eq, w, w[1:])) / m)),
     ]
 
 
@@ -83,9 +92,13 @@ def _c(n: np.ndarray | float) -> np.ndarray:
 
 
 class IsolationForest:
-    """Trees as arrays: feature (-1 at a leaf), cut, and the path length that a leaf stands for."""
+    """Trees as arrays: feature (-1 at a leaf), cut, and the path length that a leaf stands for.
 
-    def __init__(self, x: np.ndarray, seed: int = 7, trees: int = TREES, rows: int = TREE_ROWS) -> None:
+    Splits are drawn from the range of a node's rows or, with ``box`` (lowest and highest
+    values), from the node's part of the box, where rows unlike those of ``x`` find no others.
+    """
+
+    def __init__(self, x: np.ndarray, seed: int = 7, trees: int = TREES, rows: int = TREE_ROWS, box: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         rng = np.random.default_rng(seed)
         m = min(rows, len(x))
         self.depth = max(1, int(np.ceil(np.log2(max(2, m)))))
@@ -93,11 +106,11 @@ class IsolationForest:
         nodes = (1 << (self.depth + 1)) - 1
         self.feature, self.cut, self.length = np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes))
         for t in range(trees):
-            todo = [(0, 0, rng.choice(len(x), m, replace=False))] if m else []
+            todo = [(0, 0, rng.choice(len(x), m, replace=False), box)] if m else []
             while todo:
-                k, deep, own = todo.pop()
+                k, deep, own, room = todo.pop()
                 part = x[own]
-                lo, hi = part.min(axis=0), part.max(axis=0)
+                lo, hi = room or ((part.min(axis=0), part.max(axis=0)) if len(own) else (x[0], x[0]))
                 split = np.flatnonzero(hi > lo)
                 if deep == self.depth or len(own) < 2 or not len(split):
                     self.length[t, k] = deep + float(_c(len(own)))
@@ -106,7 +119,9 @@ class IsolationForest:
                 c = rng.uniform(lo[f], hi[f])
                 self.feature[t, k], self.cut[t, k] = f, c
                 left = part[:, f] <= c
-                todo += [(2 * k + 1, deep + 1, own[left]), (2 * k + 2, deep + 1, own[~left])]
+                below, above = hi.copy(), lo.copy()
+                below[f] = above[f] = c
+                todo += [(2 * k + 1, deep + 1, own[left], room and (lo, below)), (2 * k + 2, deep + 1, own[~left], room and (above, hi))]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Between 0 and 1, more for odd rows."""
@@ -124,12 +139,20 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int, lost_per_mille: in
     """(scored rows, the broadcast forest, the highest bin that is kept)."""
     st = materialize(statistics(docs), "quality-stats")
     pool = st.where(~F.col("base_failed"))
-    # the hash's cut leaves about fit_rows rows in all, so no task sends the driver as many of its own
-    cut = int(min(1.0, fit_rows / max(1, pool.count())) * (1 << 30)) + 1
-    few = pool.where(F.pmod(F.xxhash64("d", "h"), F.lit(1 << 30)) < cut)
-    fit = few.orderBy(F.xxhash64("d"), "h").limit(fit_rows).select(*FEATURES).toArrow()
-    x = np.stack([fit[c].to_numpy() for c in FEATURES], axis=1) if fit.num_rows else np.zeros((0, len(FEATURES)))
-    forest = st.sparkSession.sparkContext.broadcast(IsolationForest(x))
+    # a document with both labels counts as good; a missing doc_id has none
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.max("quality").alias("quality"))
+
+    def sample(rows: DataFrame) -> np.ndarray:
+        # the hash's cut leaves about fit_rows rows in all, so no task sends the driver as many of its own
+        cut = int(min(1.0, fit_rows / max(1, rows.count())) * (1 << 30)) + 1
+        few = rows.where(F.pmod(F.xxhash64("d", "h"), F.lit(1 << 30)) < cut)
+        fit = few.orderBy(F.xxhash64("d"), "h").limit(fit_rows).select(*FEATURES).toArrow()
+        return np.stack([fit[c].to_numpy() for c in FEATURES], axis=1) if fit.num_rows else np.zeros((0, len(FEATURES)))
+
+    every, x = sample(pool), sample(pool.where("not z").join(known.where("quality = 1"), "d", "left_semi"))
+    both = np.concatenate([every, x])
+    grown = IsolationForest(x, box=(both.min(axis=0), both.max(axis=0))) if len(x) else IsolationForest(every)
+    forest = st.sparkSession.sparkContext.broadcast(grown)
 
     def run(batches):
         for b in batches:
@@ -138,24 +161,50 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int, lost_per_mille: in
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in st.schema)
     scored = materialize(st.mapInArrow(run, kinds + ", bin long"), "quality-scores")
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("d")).where("d is not null").distinct()
-    by_bin = scored.where("not base_failed and not z").join(good, "d", "left_semi").groupBy("bin").count().orderBy(F.desc("bin")).collect()  # BINS + 1 rows at most
-    total, above, top = sum(r["count"] for r in by_bin), 0, BINS + 1
-    for r in by_bin:
-        above += r["count"]
-        if above * 1000 > total * lost_per_mille:
-            top = r["bin"]
-            break
-    return scored, forest, top
+    seen = scored.where("not base_failed and not z").join(known, "d")
+    by_bin = seen.groupBy("bin").agg(F.sum(F.expr("int(quality = 1)")).alias("good"), F.sum(F.expr("int(quality = 0)")).alias("bad")).orderBy(F.desc("bin")).collect()  # BINS + 1 rows at most
+    return scored, forest, threshold([(r["bin"], r["good"], r["bad"]) for r in by_bin], lost_per_mille)
+
+
+def threshold(by_bin: list[tuple[int, int, int]], lost_per_mille: int) -> int:
+    """The highest bin to keep, from (bin, good rows, bad rows) by falling bin.
+
+    Of the cuts that lose at most ``lost_per_mille`` of the good rows it is the one of best
+    balanced accuracy (without bad rows the lowest, and without good ones there is none).
+    """
+    n_good, n_bad = (sum(r[i] for r in by_bin) for i in (1, 2))
+    top, best, good, bad = BINS + 1, 0.0, 0, 0
+    for i, (bin_, g, b) in enumerate(by_bin):
+        good, bad = good + g, bad + b
+        if not n_good or good * 1000 > n_good * lost_per_mille:
+            return top if n_bad or not n_good else bin_
+        gain = bad / max(1, n_bad) - good / n_good
+        if gain > best:
+            # halfway to the next bin with labelled rows
+            best, top = gain, (bin_ + (by_bin[i + 1][0] if i + 1 < len(by_bin) else bin_ - 1)) // 2
+    return top
+
+
+def held_out(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> dict[str, int]:
+    """Rows that pass the rules, of one fold of the labels, judged with the labels of the others.
+
+    bad, bad_rejected, good, good_rejected: recall is bad_rejected / bad, precision
+    bad_rejected / (bad_rejected + good_rejected).
+    """
+    mine = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(folds)) == fold
+    kept = judged(docs, labels.where(~mine)).where("not base_failed").select(F.col("doc_id").alias("d"), "kept")
+    held = labels.where(mine & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.max("quality").alias("quality"))
+    cells = {"bad": "quality = 0", "bad_rejected": "quality = 0 and not kept", "good": "quality = 1", "good_rejected": "quality = 1 and not kept"}
+    return kept.join(held, "d").agg(*[F.count_if(F.expr(c)).alias(k) for k, c in cells.items()]).first().asDict()
 
 
 def judged(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lost_per_mille: int = LOST_PER_MILLE) -> DataFrame:
     """Per row of ``docs``: doc_id, key d, z, h, the base counts, base_failed, anomaly, kept.
 
     kept is false where the rules fail, or where the anomaly score is above the
-    threshold: the lowest that loses at most ``lost_per_mille`` of the labelled good
-    documents (quality 1) that pass the rules. Without such labels the forest rejects
-    nothing. Labels of unknown documents or of null quality do not count. Null texts
+    threshold: that of best balanced accuracy on the labelled documents that pass the rules
+    (quality 1 and 0), of those that lose at most ``lost_per_mille`` of the good ones.
+    Without good ones the forest rejects nothing, without bad ones as much as it may. Labels of unknown documents or of null quality do not count. Null texts
     have no words and fail. Repeated rows are judged alike.
     """
     scored, _, top = fitted(docs, labels, fit_rows, lost_per_mille)
