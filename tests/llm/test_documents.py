@@ -124,7 +124,6 @@ def test_tokens_odd(spark, tmp_path):
     from voxloom.llm.token_store import TokenFile, read_tokens, write_tokens
 
     t = Tokenizer.from_file(q.tokenizer_path())
-    t.encode_special_tokens = True
     write_tokens(odd(spark), str(tmp_path / "a"), q.tokenizer_path(), 2)
     got = read_tokens(spark, str(tmp_path / "a")).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, None, 1, 2, 3, 3, 4, 5, 6]
@@ -140,6 +139,26 @@ def test_tokens_odd(spark, tmp_path):
     assert read_tokens(spark, str(tmp_path / "b")).count() == 0
 
 
+@pytest.mark.parametrize("as_text", [False, True])
+def test_encoder_is_the_library(as_text, monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    from voxloom.llm import token_store
+
+    t = Tokenizer.from_file(q.tokenizer_path())
+    t.encode_special_tokens = as_text
+    monkeypatch.setattr(token_store, "SPAN", 2000)
+    enc, rng = token_store.Encoder(q.tokenizer_path(), as_text), random.Random(3)
+    letters = " " * 9 + "\n\t\r\x0b\x1c\x85\xa0\u1680\u2003\u2028\u3000\u200b\ufeff\u180eab'sté1٣,.!-漢😀\u0301"
+    texts = ["", " ", "  a  b ", "a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>", "it's 12,5 %", "x" * 5000, "a b " * 3000]
+    texts += ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(3000)]
+    for _ in range(2):  # the second time from what is kept
+        got = [x for ids, n in enc.encode(texts) for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert [g.tolist() for g in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 15, 16, 17, 32])
 def test_pack(bits):
     from voxloom.llm.token_store import pack, unpack

@@ -57,9 +57,18 @@ def discard(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._voxloom_path)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small, since one text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch, beyond its last row.
+BATCH_BYTES = 1 << 24
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, since one text may be very long, unless the session bounds them lower.
+
+    The same bound serves all operators, as plans read it when they run.
+    """
+    key, parse = "spark.sql.execution.arrow.maxBytesPerBatch", spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < parse(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -170,7 +170,6 @@ def fingerprint_links(distinct: DataFrame, bits: int = 3, cell: int = CELL) -> D
         cells = r.select("key", F.explode(pairs).alias("cell"), "fp")
     else:
         cells = replicas().select("key", F.lit(-1).cast("long").alias("cell"), "fp")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compare(bits), "u long, v long")
 
 

@@ -234,7 +234,6 @@ def extended(docs: DataFrame, repeats: DataFrame) -> DataFrame:
 def paragraph_links(docs: DataFrame, occurrences: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """Spanning (u, v) links among distinct paragraphs whose shingle sets are that similar."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
 
     def colliding(batches):
         """Rows of buckets with two paragraphs or more (pid is distinct within a band)."""
@@ -279,7 +278,6 @@ def paragraph_links(docs: DataFrame, occurrences: DataFrame, similarity: float =
 
     bound_batches(spark)
     held = materialize(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(sets_of, "pid long, s binary").groupBy("pid").agg(F.min("s").alias("s")), "substring-sets")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     hot = materialize(hits.groupBy("band").count().where(F.col("count") > cell).select("band", F.ceil(F.col("count") * 2 / cell).alias("m")), "substring-hot")
     rows = hits.join(held, "pid").join(hot, "band", "left").withColumn("i", F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("pid"), F.col("m"))))
     grid = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda j: F.least(j, F.col("i")) * F.col("m") + F.greatest(j, F.col("i")))

@@ -15,12 +15,13 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain, compress, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -45,74 +46,206 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return (b.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-#: Texts of these characters alone are split here as the tokenizer's own pattern does; any other text goes to it whole.
+_OPEN: dict[tuple[str, bool], "Encoder"] = {}
+#: Characters of texts that are looked up together.
+SPAN = 1 << 23
+#: Chunks of these characters alone are cut into pieces here as the tokenizer's own pattern does.
 _PLAIN = re.compile("[^\t-\r -~¡-±´-¸º»¿-ɏ‐-‧€]")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_OPEN: dict[str, "Encoder"] = {}
-#: Characters of texts whose pieces are looked up together.
-SPAN = 1 << 22
 
 
-class Encoder:
-    """Ids by the tokenizers library. Special tokens' strings in a text are ordinary text.
+def _opens_piece(c: str) -> bool:
+    """Whether a piece starts at any space before ``c``: ``c`` is no white space in anyone's view."""
+    return "!" <= c <= "~" or c > "\xa0" and not c.isspace() and c not in "\u180e\u200b\ufeff"
+
 
-    With a byte-level pre-tokenizer a text's ids are those of its pieces, so frequent
-    pieces are kept (:data:`KEPT` at most) and only others are encoded anew.
+class Encoder:
+    """Ids by the tokenizers library, as ``encode(text, add_special_tokens=False)`` gives them.
+
+    A byte-level pre-tokenizer starts a piece at each space before a visible character, so a
+    text's ids are those of its chunks between such spaces. A batch's texts are cut there,
+    each distinct chunk is looked up once, new ones are cut into pieces, and only new pieces
+    go to the tokenizer. The ids of :data:`KEPT` chunks and pieces of at most :data:`WIDE` characters are kept, 150 MB a worker at most.
+    A text that holds the string of a special token goes to the tokenizer whole, unless
+    ``special_as_text`` (their strings are then ordinary text).
     """
 
-    KEPT = 1_000_000
+    KEPT, WIDE = 1_000_000, 48
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        self.t.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             j = json.load(f)
-        pre = j.get("pre_tokenizer") or {}
-        self.by_piece = j.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and j["model"].get("type") == "BPE" and not j["model"].get("dropout")
-        self.bits = max(1, (max(self.t.get_vocab().values())).bit_length())
-        self.kept: dict[str, bytes] = {}
+        pre, added = j.get("pre_tokenizer") or {}, j.get("added_tokens") or []
+        self.by_chunk = j.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and j["model"].get("type") == "BPE" and not j["model"].get("dropout")
+        self.by_chunk = self.by_chunk and not any(" " in x["content"] for x in added)
+        self.whole = [x["content"] for x in added if not (special_as_text and x.get("special"))]
+        vocab = self.t.get_vocab()
+        self.bits = max(1, (max(vocab.values())).bit_length())
+        # a byte-level token has one character a byte
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for k, v in vocab.items():
+            self.n_bytes[v] = len(k)
+        self.kept: dict[str, int] = {}
+        self.first, self.size, self.ids, self.n_ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, "<u4"), 0
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in _OPEN:
-            _OPEN[path] = cls(path)
-        return _OPEN[path]
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _joined(self, lists: list[list[str]]) -> list[bytes]:
-        got = [list(map(self.kept.get, pieces)) for pieces in lists]
-        new = list({p for pieces, g in zip(lists, got) if None in g for p, x in zip(pieces, g) if x is None})
-        ids = dict(zip(new, self._whole(new))) if new else {}
-        if len(self.kept) < self.KEPT:
-            self.kept |= dict(islice(ids.items(), self.KEPT - len(self.kept)))
-        return [b"".join([ids[p] if x is None else x for p, x in zip(pieces, g)] if None in g else g) for pieces, g in zip(lists, got)]
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text; misses of several texts go to the tokenizer together."""
+    def of(cls, path: str, special_as_text: bool = False) -> "Encoder":
+        if (path, special_as_text) not in _OPEN:
+            _OPEN[path, special_as_text] = cls(path, special_as_text)
+        return _OPEN[path, special_as_text]
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, their number for each text), each encoded on its own."""
+        ids = [np.array(e.ids, "<u4") for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(ids), np.array([len(x) for x in ids])
+
+    def _joined(self, chunks: list[str], between: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each chunk's begin, their number) of chunks that piece alike with ``between`` between them.
+
+        They are encoded as one text and parted by the tokens' bytes.
+        """
+        ids, _ = self._each([between.join(chunks)])
+        n = pc.binary_length(pa.array(chunks, pa.large_string())).to_numpy().astype(np.int64) + len(between)
+        at = np.r_[0, np.cumsum(self.n_bytes[ids])]
+        ends = np.cumsum(n) - len(between)
+        first, last = np.searchsorted(at, ends - n + len(between)), np.searchsorted(at, ends)
+        if at[-1] == ends[-1] and (at[last] == ends).all() and (at[first] == ends - n + len(between)).all():
+            return ids, first, last - first
+        ids, size = self._each(chunks)
+        return ids, np.cumsum(size) - size, size
+
+    def _keep(self, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, chunks: list[str]) -> None:
+        few = [i for i, c in enumerate(chunks) if len(c) <= self.WIDE][: self.KEPT - len(self.kept)]
+        if not few:
+            return
+        own, n, k = size[few], len(self.kept), len(few)
+        ids = _gather(ids, begin[few], own)
+        while n + k > len(self.first):
+            self.first, self.size = np.r_[self.first, self.first * 0], np.r_[self.size, self.size * 0]
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, self.ids * 0]
+        self.first[n : n + k], self.size[n : n + k] = self.n_ids + np.cumsum(own) - own, own
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+        self.kept.update(zip((chunks[i] for i in few), range(n, n + k)))
+
+    def _known(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which have no ids here, where those of the others begin in self.ids, their number)."""
+        at = np.fromiter(map(self.kept.get, keys, repeat(-1)), np.int64, len(keys))
+        return np.flatnonzero(at < 0), np.where(at < 0, 0, self.first[at]), np.where(at < 0, 0, self.size[at])
+
+    def _found(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each chunk's begin, their number); the chunks are distinct."""
+        new, begin, size = self._known(chunks)
+        if not len(new):
+            return self.ids, begin, size
+        # a text's first chunk, which has no space before it, goes to the library as it is
+        cut = [_PIECE.findall(c) if c[:1] == " " and not c[1:].isalpha() and not _PLAIN.search(c) else (c,) for c in (chunks[i] for i in new.tolist())]
+        pieces = list(dict.fromkeys(chain.from_iterable(cut)))
+        fresh, at, many = self._known(pieces)
+        pools, base = [self.ids], len(self.ids)
+        kinds: tuple[list[int], list[int], list[int]] = [], [], []
+        for i in fresh.tolist():
+            p = pieces[i]
+            kinds[0 if p[:1] == " " and _opens_piece(p[1:2] or " ") else 1 if p.isalpha() and not _PLAIN.search(p) else 2].append(i)
+        kept = []
+        for which, between in zip(kinds, ("", "\n", None)):
+            if which:
+                own = [pieces[i] for i in which]
+                if between is None:
+                    ids, n = self._each(own)
+                    first = np.cumsum(n) - n
+                else:
+                    ids, first, n = self._joined(own, between)
+                at[which], many[which] = base + first, n
+                pools.append(ids)
+                base += len(ids)
+                kept.append((ids, first, n, own))
+        number = dict(zip(pieces, range(len(pieces))))
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64)
+        n_pieces = np.fromiter(map(len, cut), np.int64, len(cut))
+        start = np.cumsum(n_pieces) - n_pieces
+        pool = np.concatenate(pools)
+        own = _gather(pool, at[flat], many[flat])
+        size[new] = np.add.reduceat(many[flat], start)
+        begin[new] = base + np.cumsum(size[new]) - size[new]
+        for x in kept:
+            self._keep(*x)
+        several = new[n_pieces > 1]
+        self._keep(own, begin[several] - base, size[several], [chunks[i] for i in several.tolist()])
+        return np.concatenate([pool, own]), begin, size
+
+    def _chunked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, their number for each text)."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        first = lists.offsets.to_numpy()[:-1]  # of each text, the chunk with no space before it
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        heads = pc.utf8_slice_codeunits(coded.dictionary, 0, 1).dictionary_encode()
+        opens = np.array([_opens_piece(c or " ") for c in heads.dictionary.to_pylist()], bool)[heads.indices.to_numpy()][code]
+        opens[first] = True
+        keys = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string())).to_pylist()
+        n = len(keys)
+        # a chunk that opens no piece belongs to the one before it, space and all
+        tails: dict[int, list[str]] = {}
+        head = np.maximum.accumulate(np.where(opens, np.arange(len(opens)), 0))
+        for i in np.flatnonzero(~opens).tolist():
+            tails.setdefault(int(head[i]), []).append(keys[code[i]])
+        named: dict[str, int] = {}
+        for f in first.tolist():
+            key = "".join([keys[code[f]][1:], *tails.pop(f, ())])
+            code[f] = n + named.setdefault(key, len(named))
+        for i, tail in tails.items():
+            code[i] = n + named.setdefault("".join([keys[code[i]], *tail]), len(named))
+        keys += named
+        code = code[opens]
+        used = np.zeros(len(keys), bool)
+        used[code] = True
+        place = np.cumsum(used) - 1
+        pool, begin, size = self._found(list(compress(keys, used.tolist())))
+        code = place[code]
+        n_chunks = np.add.reduceat(opens.astype(np.int64), first)
+        each = size[code]
+        return _gather(pool, begin[code], each), np.add.reduceat(each, np.cumsum(n_chunks) - n_chunks)
+
+    def _long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A text of more than SPAN characters, cut where pieces open."""
+        at, out = 0, []
+        while at < len(text):
+            to = text.find(" ", at + SPAN)
+            while to >= 0 and not _opens_piece(text[to + 1 : to + 2] or " "):
+                to = text.find(" ", to + 1)
+            to = to if to >= 0 else len(text)
+            out.append(self._chunked([text[at:to]])[0])
+            at = to
+        ids = np.concatenate(out)
+        return ids, np.array([len(ids)])
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For some texts after another: (ids one after another, their number for each text)."""
         i = 0
         while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) <= SPAN):
+            whole = not self.by_chunk or any(x in texts[i] for x in self.whole)
+            j, size = i + 1, len(texts[i])
+            while not whole and j < len(texts) and size + len(texts[j]) <= SPAN and not any(x in texts[j] for x in self.whole):
                 size += len(texts[j])
                 j += 1
-            part = texts[i:j]
-            plain = [bool(self.by_piece and not _PLAIN.search(t)) for t in part]
-            if len(part) == 1 and plain[0] and size > SPAN:  # a very long text, piece by piece
-                it = (m.group() for m in _PIECE.finditer(part[0]))
-                yield np.frombuffer(b"".join(self._joined([p])[0] for p in iter(lambda: list(islice(it, 1 << 18)), [])), "<u4")
-            else:
-                done = iter(self._joined([_PIECE.findall(t) for t, p in zip(part, plain) if p]))
-                rest = iter(self._whole([t for t, p in zip(part, plain) if not p]))
-                for p in plain:
-                    yield np.frombuffer(next(done if p else rest), "<u4")
+            yield self._each(texts[i:j]) if whole else self._long(texts[i]) if size > SPAN else self._chunked(texts[i:j])
             i = j
 
 
+def _gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` of these sizes that begin at these places, one after another."""
+    where = np.repeat(begin - (np.cumsum(size) - size), size)
+    where += np.arange(len(where))
+    return pool[where]
+
+
 @dataclass
 class Part(WriterCommitMessage):
     partition: int
@@ -121,6 +254,23 @@ class Part(WriterCommitMessage):
     n_docs: int
 
 
+def _spans(batches, docs: list[int], has: list[bool]) -> Iterator[list[str]]:
+    """Texts of about SPAN characters at a time; their doc_ids are appended to ``docs``, and whether there is one to ``has``."""
+    texts, size = [], 0
+    for b in batches:
+        names = b.schema.names
+        for d, t in zip(b.column(names.index("doc_id")).to_pylist(), b.column(names.index("text")).to_pylist()):
+            docs.append(d or 0)
+            has.append(d is not None)
+            texts.append(t or "")
+            size += len(texts[-1])
+            if size >= SPAN:
+                yield texts
+                texts, size = [], 0
+    if texts:
+        yield texts
+
+
 class TokenWriter(DataSourceArrowWriter):
     """Writes (doc_id, text) batches; texts become ids here, so that ids cross no process."""
 
@@ -147,17 +297,13 @@ class TokenWriter(DataSourceArrowWriter):
                     i += BLOCK
                 held, n_held = [ids[i:]], max(0, len(ids) - i)
 
-            for b in iterator:
-                names = b.schema.names
-                ids_of, texts = b.column(names.index("doc_id")).to_pylist(), [t or "" for t in b.column(names.index("text")).to_pylist()]
-                for d, own in zip(ids_of, enc.encode(texts)):
-                    got = np.concatenate([own, tail])
-                    docs.append(d or 0)
-                    has.append(d is not None)
-                    sizes.append(len(got))
-                    held.append(got)
-                    n_ids += len(got)
-                    n_held += len(got)
+            for texts in _spans(iterator, docs, has):
+                for ids, own in enc.encode(texts):
+                    ids = np.insert(ids, np.repeat(np.cumsum(own), len(tail)), np.tile(tail, len(own)))
+                    sizes += (own + len(tail)).tolist()
+                    held.append(ids)
+                    n_ids += len(ids)
+                    n_held += len(ids)
                     if n_held >= BLOCK * 4:
                         flush(False)
             flush(True)
