@@ -122,12 +122,12 @@ def filter_slice_labels(spark, d):
 
 @query()
 def persistent_slices(spark, d):
-    return sl.persistent_slices(_xy(spark, d), fx.SHAPE[0], 5)
+    return sl.persistent_slices(_xy(spark, d), fx.Z, 5)
 
 
 @query()
 def stable_slices(spark, d):
-    return sl.stable_slices(_xy(spark, d), fx.SHAPE[0], 5, 0.3)
+    return sl.stable_slices(_xy(spark, d), fx.Z, 5, 0.3)
 
 
 @query(_FLOW + "SELECT label, round(avg(dz * dz + dy * dy + (dx - 1) * (dx - 1)), 6) AS error FROM flow GROUP BY label")
@@ -137,7 +137,7 @@ def flow_errors(spark, d):
     return _rounded(fl.flow_errors(f.select("z", "y", "x", "label"), f, other), "error")
 
 
-@query(_FLOW + "SELECT z, y, x, label FROM ref WHERE label IN (SELECT label FROM flow GROUP BY label HAVING avg(dz * dz + dy * dy + (dx - 1) * (dx - 1)) <= 2.0)")
+@query(_FLOW + "SELECT z, y, x, label FROM ref WHERE label IN (SELECT label FROM flow GROUP BY label HAVING round(avg(dz * dz + dy * dy + (dx - 1) * (dx - 1)), 9) <= 2.0::DOUBLE)")
 def remove_bad_flows(spark, d):
     f = _flow(spark, d)
     other = f.select("z", "y", "x", F.lit(0.0).alias("dz"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("dx"))
@@ -146,24 +146,24 @@ def remove_bad_flows(spark, d):
 
 @query()
 def gaussian(spark, d):
-    return _rounded(sm.gaussian(fx.volume(spark, d), ["v"], 1.0, fx.SHAPE), "v")
+    return _rounded(sm.gaussian(fx.volume(spark, d), ["v"], 1.0, fx.shape(spark, d)), "v")
 
 
 @query()
 def slice_flows(spark, d):
-    return _rounded(fl.slice_flows(fl.slices(fx.ref(spark, d)), fx.SHAPE, "edt"), "dist", "d_row", "d_col")
+    return _rounded(fl.slice_flows(fl.slices(fx.ref(spark, d)), fx.shape(spark, d), "edt"), "dist", "d_row", "d_col")
 
 
 @query()
 def advect_cluster(spark, d):
     f = _flow(spark, d)
-    return fl.vote_clusters(fl.advect(f.select("z", "y", "x"), f, fx.SHAPE, n_iter=50), fx.SHAPE)
+    return fl.vote_clusters(fl.advect(f.select("z", "y", "x"), f, fx.shape(spark, d), n_iter=50), fx.shape(spark, d))
 
 
 @query()
 def aggregate_indirect(spark, d):
     p = Aggregation(binary=Binary(remove_small=20), descent=Descent(n_iter=100), indirect=Indirect(method="edt"))
-    return pl.aggregate_indirect(fl.slices(fx.ref(spark, d)), fx.SHAPE, p)
+    return pl.aggregate_indirect(fl.slices(fx.ref(spark, d)), fx.shape(spark, d), p)
 
 
 @query()

@@ -153,8 +153,8 @@ def flow_errors(labels: DataFrame, flow: DataFrame, other: DataFrame) -> DataFra
 
 
 def remove_bad_flows(labels: DataFrame, flow: DataFrame, other: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """``labels`` without those whose flow error is above the threshold."""
-    bad = flow_errors(labels, flow, other).where(F.col("error") > threshold).select("label")
+    """``labels`` without those whose flow error, to 9 digits, is above the threshold (the order of a sum does not decide)."""
+    bad = flow_errors(labels, flow, other).where(F.round("error", 9) > threshold).select("label")
     return labels.join(bad, "label", "left_anti").select(*labels.columns)
 
 

@@ -7,9 +7,13 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+from . import kernels
 from .graph import connected_components
 
 AXES = ("z", "y", "x")
@@ -23,13 +27,26 @@ def region_props(labels: DataFrame, by: tuple = ()) -> DataFrame:
     return labels.groupBy(*by, "label").agg(*aggs)
 
 
-def _window(by: tuple, *order) -> Window:
-    return (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
+def ranked(rows: DataFrame, cols: list, name: str, by: tuple = ()) -> DataFrame:
+    """``rows`` with their number from 1 in the order of ``cols``, within ``by``, which must name each row.
+
+    Rows are sorted over all tasks by range; a task's numbers start after the rows of those before it.
+    """
+    key = [F.col(c) for c in (*by, *cols)]
+    spread = materialize(rows.repartitionByRange(*key).withColumn("_p", F.spark_partition_id()), "ranked")
+    before = spread.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each task
+    before = before.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_p").orderBy(*key))
+    out = spread.withColumn("_at", at).join(F.broadcast(before), "_p").withColumn(name, F.col("_at") + F.col("_before")).drop("_p", "_at", "_before")
+    if by:
+        first = out.groupBy(*by).agg((F.min(name) - 1).alias("_first"))
+        out = out.join(first, list(by)).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
+    return out.withColumn(name, F.col(name).cast("int"))
 
 
 def renumber(labels: DataFrame, order: DataFrame, cols: list, by: tuple = ()) -> DataFrame:
     """New labels 1..n in the order of ``cols`` of ``order``, a table with one row per label."""
-    new = order.select(*by, "label", F.row_number().over(_window(by, *cols)).alias("_new"))
+    new = ranked(order, cols, "_new", by).select(*by, "label", "_new")
     return labels.join(new, [*by, "label"]).withColumn("label", F.col("_new")).drop("_new")
 
 
@@ -101,23 +118,65 @@ def _offsets(connectivity: int) -> list[tuple]:
     return [o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0) and sum(map(abs, o)) <= most]
 
 
-def components(voxels: DataFrame, connectivity: int = 6, same: tuple = (), by: tuple = (), span: int = 1 << 20) -> DataFrame:
+def _name(key: int, at: np.ndarray) -> np.ndarray:
+    """64-bit names of voxels of the rows with this key hash."""
+    h = np.full(at.shape[1], np.int64(key)).view(np.uint64)
+    for c in at.astype(np.int64).view(np.uint64):
+        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+#: Edge of the cubes that a task labels as one array.
+TILE = 64
+
+
+def components(voxels: DataFrame, connectivity: int = 6, same: tuple = (), by: tuple = (), tile: int = TILE) -> DataFrame:
     """``voxels`` with column ``comp``: components of neighbours that agree in the columns ``same``, 1..n in raster order.
 
-    Neighbours are found by an equi-join on shifted coordinates; coordinates are below ``span``.
+    Cubes are labelled as arrays, one task each; only the voxels on their faces are joined
+    to their neighbours, so the graph whose components remain holds the cubes' pieces.
+    Columns of ``same`` and ``by`` are not null; repeated voxels count once.
     """
-    keys = [*by, *same]
-    z, y, x = (F.col(a).cast("long") for a in AXES)
-    vid = (z * span + y) * span + x
-    v = voxels.withColumn("_id", F.xxhash64(*by, vid) if by else vid.cast("long"))
+    keys, reach = [*by, *same], {6: 1, 18: 2, 26: 3}[connectivity]
+    cube = [F.floor(F.col(a) / tile).cast("int").alias(f"_t{a}") for a in AXES]
+    names = [f"_t{a}" for a in AXES]
+    v = voxels.select(*keys, *[F.col(a).cast("int").alias(a) for a in AXES]).distinct().select("*", *cube, F.xxhash64(*keys).alias("_k") if keys else F.lit(0).cast("long").alias("_k"))
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(len(pdf), np.int64)
+        at = np.stack([pdf[a].to_numpy() for a in AXES])
+        for k, rows in pdf.groupby("_k", sort=False).indices.items():
+            p = at[:, rows]
+            low = p.min(axis=1, keepdims=True)
+            mask = np.zeros(p.max(axis=1) - low[:, 0] + 1, bool)
+            mask[tuple(p - low)] = True
+            piece = kernels.component_labels(mask, reach)[tuple(p - low)]
+            # a piece is named by its first voxel
+            first = np.full(piece.max() + 1, -1, np.int64)
+            order = np.lexsort(p[::-1])[::-1]
+            first[piece[order]] = rows[order]
+            own = first[piece]
+            out[rows] = _name(k, at[:, own])
+        return pdf.drop(columns=["_k", *names]).assign(_piece=out)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in v.schema if f.name not in ("_k", *names))
+    v = materialize(v.groupBy(*by, *names).applyInPandas(label, kinds + ", _piece long"), "pieces")
     steps = F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, o)]) for o in _offsets(connectivity)])
-    shifted = v.select(*keys, F.col("_id").alias("u"), F.explode(steps).alias("o"), *AXES).select(*keys, "u", *[(F.col(a) + F.col(f"o.d{a}")).cast("int").alias(a) for a in AXES])
-    edges = shifted.join(v.select(*keys, *[F.col(a).cast("int").alias(a) for a in AXES], F.col("_id").alias("v")), [*keys, *AXES]).select("u", "v")
-    roots = connected_components(edges)
-    out = v.join(roots.withColumnRenamed("node", "_id"), "_id", "left").withColumn("_root", F.coalesce("root", "_id"))
-    first = out.groupBy(*by, "_root").agg(F.min(F.struct(*AXES)).alias("_first"))
-    no = first.select(*by, "_root", F.row_number().over(_window(by, "_first")).alias("comp"))
-    return out.join(no, [*by, "_root"]).drop("_id", "_root", "root")
+    rim = v.where(" or ".join(f"pmod({a}, {tile}) in (0, {tile - 1})" for a in AXES))
+    shifted = rim.select(*keys, F.col("_piece").alias("u"), F.explode(steps).alias("o"), *AXES)
+    shifted = shifted.select(*keys, "u", *[(F.col(a) + F.col(f"o.d{a}")).cast("int").alias(a) for a in AXES])
+    edges = shifted.join(rim.select(*keys, *AXES, F.col("_piece").alias("v")), [*keys, *AXES]).where("u <> v").select("u", "v")
+    roots = connected_components(edges).withColumnRenamed("node", "_piece")
+    pieces = v.groupBy(*by, "_piece").agg(F.min(F.struct(*AXES, *same)).alias("_first")).join(roots, "_piece", "left").withColumn("_root", F.coalesce("root", "_piece"))
+    first = pieces.groupBy(*by, "_root").agg(F.min("_first").alias("_first"))
+    no = ranked(first, ["_first", "_root"], "comp", by).select(*by, "_root", "comp")
+    named = pieces.select(*by, "_piece", "_root").join(no, [*by, "_root"]).select(*by, "_piece", "comp")
+    out = v.join(named, [*by, "_piece"]).select(*keys, *AXES, "comp")
+    rest = [c for c in voxels.columns if c not in (*keys, *AXES)]
+    return out.join(voxels.select(*keys, *AXES, *rest), [*keys, *AXES]).select(*voxels.columns, "comp") if rest else out.select(*voxels.columns, "comp")
 
 
 def largest_component(voxels: DataFrame, connectivity: int = 6, by: tuple = ()) -> DataFrame:
@@ -149,7 +208,7 @@ def split_components(labels: DataFrame, min_size: int = 100, by: tuple = ()) ->
     """Each label's full-connectivity components of ``min_size`` or more as labels 1..n, by old label, then raster order."""
     c = components(labels, 26, ("label",), by)
     n = c.groupBy(*by, "label", "comp").count().where(F.col("count") >= min_size)
-    new = n.select(*by, "label", "comp", F.row_number().over(_window(by, "label", "comp")).alias("_new"))
+    new = ranked(n, ["label", "comp"], "_new", by).select(*by, "label", "comp", "_new")
     return c.join(new, [*by, "label", "comp"]).withColumn("label", F.col("_new")).drop("_new", "comp")
 
 

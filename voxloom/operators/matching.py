@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as k
+from ..scratch import materialize
 from .graph import connected_components
 from .labels import AXES, region_props
 from .metrics import iou_pairs
@@ -35,6 +36,28 @@ def assignment(edges: DataFrame, score: str = "score") -> DataFrame:
     return edges.join(root, "t").groupBy("_g").applyInPandas(run, edges.select(*names).schema)
 
 
+def largest_matching(edges: DataFrame) -> DataFrame:
+    """One row (tp): the most edges (t, p) of which no two share a label.
+
+    An edge whose label on one side has no other is in some largest matching, so leaves are
+    taken first; what remains is solved component by component.
+    """
+    e, got = edges.select("t", "p").distinct(), None
+    while True:
+        deg = e.withColumns({"_a": F.count("*").over(Window.partitionBy("t")), "_b": F.count("*").over(Window.partitionBy("p"))})
+        leaf = deg.where("_a = 1 or _b = 1")
+        # of the leaves around one label one is taken
+        pick = leaf.groupBy("t").agg(F.min(F.struct((F.col("_a") * F.col("_b")).alias("d"), "p")).alias("m")).select("t", F.col("m.p").alias("p"))
+        pick = materialize(pick.groupBy("p").agg(F.min("t").alias("t")).select("t", "p"), "leaves")
+        if not pick.limit(1).count():
+            break
+        got = pick if got is None else got.union(pick)
+        e = materialize(e.join(pick.select("t"), "t", "left_anti").join(pick.select("p"), "p", "left_anti").select("t", "p"), "kernel")
+    n = e.sparkSession.range(0).selectExpr("0L as n") if got is None else got.agg(F.count("*").alias("n"))
+    rest = assignment(e.withColumn("score", F.lit(1.0))).agg(F.count("*").alias("n"))
+    return n.union(rest).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tp"))
+
+
 def matched(ref: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(t, p, n, n_t, n_p, iou, dice) of the assignment that has the most pairs of IoU >= threshold, then the largest IoU."""
     e = iou_pairs(ref, pred)

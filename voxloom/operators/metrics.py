@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from .labels import AXES, components
 
 
@@ -26,17 +27,18 @@ def iou_pairs(ref: DataFrame, pred: DataFrame, by: tuple = ()) -> DataFrame:
 def average_precision(ref: DataFrame, pred: DataFrame, thresholds: tuple = (0.5, 0.75, 0.9)) -> DataFrame:
     """(threshold, tp, fp, fn, ap); the numbers of objects are the largest labels, gaps included.
 
-    Above 0.5 a label has one partner at most, so counting pairs is the best assignment.
-    At 0.5 itself two pairs may tie; the smaller number of distinct partners counts. Lower
-    thresholds need an assignment and are refused.
+    Above 0.5 a label has one partner at most, so pairs are counted; at 0.5 (two halves of one
+    label tie) and below, the largest assignment counts.
     """
-    if min(thresholds) < 0.5:
-        raise ValueError("thresholds below 0.5 need an assignment")
+    from .matching import largest_matching
+
     spark = ref.sparkSession
     top = ref.agg(F.coalesce(F.max("label"), F.lit(0)).alias("n_t")).crossJoin(pred.agg(F.coalesce(F.max("label"), F.lit(0)).alias("n_p")))
-    hit = iou_pairs(ref, pred).select("t", "p", "iou").where(F.col("iou") >= min(thresholds))
+    hit = materialize(iou_pairs(ref, pred).select("t", "p", "iou").where(F.col("iou") >= min(thresholds)), "hits")
     th = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
-    tp = hit.select("t", "p", "iou", th).where("iou >= threshold").groupBy("threshold").agg(F.least(F.countDistinct("t"), F.countDistinct("p")).alias("tp"))
+    tp = hit.where("iou > 0.5").select("iou", th).where("iou >= threshold and threshold > 0.5").groupBy("threshold").agg(F.count("*").alias("tp"))
+    for x in sorted({float(x) for x in thresholds if x <= 0.5}):
+        tp = tp.union(largest_matching(hit.where(F.col("iou") >= x)).select(F.lit(x).alias("threshold"), "tp"))
     all_th = spark.range(1).select(th)
     j = all_th.join(tp, "threshold", "left").crossJoin(top).withColumn("tp", F.coalesce("tp", F.lit(0)))
     j = j.withColumns({"fp": (F.col("n_p") - F.col("tp")).cast("long"), "fn": (F.col("n_t") - F.col("tp")).cast("long")})
@@ -44,6 +46,21 @@ def average_precision(ref: DataFrame, pred: DataFrame, thresholds: tuple = (0.5,
     return j.select("threshold", "tp", "fp", "fn", F.when(total > 0, F.col("tp") / total).alias("ap"))
 
 
+def average_precision_curve(ref: DataFrame, pred: DataFrame, by: str, thresholds: tuple) -> DataFrame:
+    """(threshold, ap, images): the mean AP over the images that ``by`` names, each of which has labels; thresholds are above 0.5.
+
+    An image without predictions counts with zero.
+    """
+    if min(thresholds) <= 0.5:
+        raise ValueError("several images are scored above 0.5, where a label has one partner")
+    th = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
+    top = ref.groupBy(by).agg(F.max("label").alias("n_t")).join(pred.groupBy(by).agg(F.max("label").alias("n_p")), by, "left").select("*", th)
+    tp = iou_pairs(ref, pred, (by,)).where("iou > 0.5").select(by, "iou", th).where("iou >= threshold").groupBy(by, "threshold").agg(F.count("*").alias("tp"))
+    j = top.join(tp, [by, "threshold"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    ap = F.col("tp") / (F.col("n_t") + F.coalesce("n_p", F.lit(0)) - F.col("tp"))
+    return j.groupBy("threshold").agg(F.avg(ap).alias("ap"), F.count("*").alias("images"))
+
+
 def best_matches(ref: DataFrame, pred: DataFrame) -> DataFrame:
     """Per reference label the predicted one of the largest IoU (ties: the smaller label)."""
     b = iou_pairs(ref, pred).groupBy("t").agg(F.min(F.struct((-F.col("iou")).alias("a"), "p", "iou", "n")).alias("b"))

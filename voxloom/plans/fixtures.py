@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHAPE = (32, 64, 64)
+#: z and y of the volume; every block of 100 suppliers adds 64 to its x.
+Z, Y, BLOCK = 32, 64, 64
 
 SQL = """
 WITH seeds AS (SELECT CAST(s_suppkey + 1 AS INT) id, CAST(6 + (s_suppkey * 7) % 20 AS INT) cz, CAST(6 + (s_suppkey * 13) % 52 AS INT) cy,
-                      CAST(6 + (s_suppkey * 29) % 52 AS INT) cx, CAST(3 + s_nationkey % 3 AS INT) r FROM supplier WHERE s_suppkey < 100),
+                      CAST(6 + (s_suppkey * 29) % 52 + 64 * (s_suppkey // 100) AS INT) cx, CAST(3 + s_nationkey % 3 AS INT) r FROM supplier),
+width AS (SELECT CAST(64 * (max(s_suppkey) // 100 + 1) AS INT) AS w FROM supplier),
 pseeds AS (SELECT id, cz, cy, cx + (id % 3) - 1 AS cx, r - (id % 2) AS r FROM seeds WHERE id % 11 <> 10),
 ax AS (SELECT CAST(i AS INT) i FROM range(-5, 6) t(i)),
 ref AS (SELECT cz + a.i AS z, cy + b.i AS y, cx + c.i AS x, min(id) AS label FROM seeds, ax a, ax b, ax c WHERE a.i * a.i + b.i * b.i + c.i * c.i <= r * r GROUP BY 1, 2, 3),
 pred AS (SELECT cz + a.i AS z, cy + b.i AS y, cx + c.i AS x, min(id) AS label FROM pseeds, ax a, ax b, ax c WHERE a.i * a.i + b.i * b.i + c.i * c.i <= r * r GROUP BY 1, 2, 3),
-grid AS (SELECT CAST(a.i AS INT) z, CAST(b.i AS INT) y, CAST(c.i AS INT) x FROM range(0, 32) a(i), range(0, 64) b(i), range(0, 64) c(i)),
+grid AS (SELECT CAST(a.i AS INT) z, CAST(b.i AS INT) y, CAST(c.i AS INT) x FROM range(0, 32) a(i), range(0, 64) b(i), (SELECT unnest(range(0, w)) AS i FROM width) c),
 vol AS (SELECT g.z, g.y, g.x, CAST((g.z * 31 + g.y * 17 + g.x * 7) % 13 + CASE WHEN label IS NULL THEN 0 ELSE 40 + (label % 5) * 6 END AS DOUBLE) AS v
         FROM grid g LEFT JOIN ref ON ref.z = g.z AND ref.y = g.y AND ref.x = g.x),
 frames AS (SELECT event_type AS channel, CAST(day(ts) AS INT) AS frame, avg(value) AS thr FROM events GROUP BY 1, 2)
@@ -28,12 +30,18 @@ def _balls(s: DataFrame) -> DataFrame:
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey < 100").selectExpr(
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(
         "cast(s_suppkey + 1 as int) id", "cast(6 + (s_suppkey * 7) % 20 as int) cz", "cast(6 + (s_suppkey * 13) % 52 as int) cy",
-        "cast(6 + (s_suppkey * 29) % 52 as int) cx", "cast(3 + s_nationkey % 3 as int) r",
+        "cast(6 + (s_suppkey * 29) % 52 + 64 * (s_suppkey div 100) as int) cx", "cast(3 + s_nationkey % 3 as int) r",
     )
 
 
+def shape(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    """The volume's extent, which grows with the suppliers."""
+    top = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.max("s_suppkey")).first()[0]
+    return Z, Y, BLOCK * (int(top or 0) // 100 + 1)
+
+
 def ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference labels: balls that overlap, the lowest id on top."""
     return _balls(_seeds(spark, sf_dir))
@@ -47,7 +55,8 @@ def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense intensities over the whole grid."""
-    g = spark.range(32 * 64).selectExpr("cast(id div 64 as int) z", "cast(id % 64 as int) y", "explode(sequence(0, 63)) x")
+    x = shape(spark, sf_dir)[2]
+    g = spark.range(Z * Y).selectExpr(f"cast(id div {Y} as int) z", f"cast(id % {Y} as int) y", f"explode(sequence(0, {x - 1})) x")
     j = g.join(ref(spark, sf_dir), ["z", "y", "x"], "left")
     return j.selectExpr("z", "y", "x", "cast((z * 31 + y * 17 + x * 7) % 13 + case when label is null then 0 else 40 + (label % 5) * 6 end as double) v")
 

@@ -110,61 +110,80 @@ def shape_covariance(spark, d):
     return lb.shape_covariance(fx.ref(spark, d)).select("label", "area", *[(F.round(f"cov_{c}", 6) + F.lit(0.0)).alias(f"cov_{c}") for c in ("zz", "zy", "zx", "yy", "yx", "xx")])
 
 
-@query()
+@query(""", m AS (SELECT label, count(*) AS n, covar_samp(z, z) AS zz, covar_samp(z, y) AS zy, covar_samp(z, x) AS zx, covar_samp(y, y) AS yy, covar_samp(y, x) AS yx, covar_samp(x, x) AS xx FROM ref GROUP BY label),
+t AS (SELECT *, (zz + yy + xx) / 3 AS q FROM m WHERE n > 20),
+s AS (SELECT *, sqrt(((zz - q) * (zz - q) + (yy - q) * (yy - q) + (xx - q) * (xx - q) + 2 * (zy * zy + zx * zx + yx * yx)) / 6) AS p FROM t),
+e AS (SELECT label, q, p, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ((zz - q) * ((yy - q) * (xx - q) - yx * yx) - zy * (zy * (xx - q) - yx * zx) + zx * (zy * yx - (yy - q) * zx)) / (2 * p * p * p)))) / 3 AS phi FROM s)
+SELECT z, y, x, label FROM ref WHERE label IN (SELECT label FROM e WHERE p = 0 OR (q + 2 * p * cos(phi)) / greatest(q + 2 * p * cos(phi + 2 * pi() / 3), 1e-12) <= 3.05::DOUBLE)""")
 def remove_eccentric_shapes(spark, d):
-    return lb.remove_eccentric_shapes(fx.ref(spark, d), 20, 3.0)
+    return lb.remove_eccentric_shapes(fx.ref(spark, d), 20, 3.05)
 
 
 @query(""", o AS (SELECT a.i AS i, b.i AS j, c.i AS k FROM ax a, ax b, ax c WHERE a.i * a.i + b.i * b.i + c.i * c.i <= 4)
-SELECT DISTINCT z + i AS z, y + j AS y, x + k AS x FROM pred, o WHERE z + i BETWEEN 0 AND 31 AND y + j BETWEEN 0 AND 63 AND x + k BETWEEN 0 AND 63""")
+SELECT DISTINCT z + i AS z, y + j AS y, x + k AS x FROM pred, o WHERE z + i BETWEEN 0 AND 31 AND y + j BETWEEN 0 AND 63 AND x + k >= 0 AND x + k < (SELECT w FROM width)""")
 def dilate_ball(spark, d):
-    return lb.dilate_ball(fx.pred(spark, d), 2, fx.SHAPE)
+    return lb.dilate_ball(fx.pred(spark, d), 2, fx.shape(spark, d))
 
 
 @query(""", o AS (SELECT a.i AS i, b.i AS j, c.i AS k FROM ax a, ax b, ax c WHERE a.i * a.i + b.i * b.i + c.i * c.i <= 1),
-n AS (SELECT z, y, x, z + i AS nz, y + j AS ny, x + k AS nx FROM ref, o WHERE z + i BETWEEN 0 AND 31 AND y + j BETWEEN 0 AND 63 AND x + k BETWEEN 0 AND 63)
+n AS (SELECT z, y, x, z + i AS nz, y + j AS ny, x + k AS nx FROM ref, o WHERE z + i BETWEEN 0 AND 31 AND y + j BETWEEN 0 AND 63 AND x + k >= 0 AND x + k < (SELECT w FROM width))
 SELECT z, y, x FROM ref EXCEPT SELECT n.z, n.y, n.x FROM n LEFT JOIN ref r ON r.z = nz AND r.y = ny AND r.x = nx WHERE r.z IS NULL""")
 def erode_ball(spark, d):
-    return lb.erode_ball(fx.ref(spark, d), 1, fx.SHAPE)
+    return lb.erode_ball(fx.ref(spark, d), 1, fx.shape(spark, d))
 
 
 @query(""", o AS (SELECT a.i AS i, b.i AS j, c.i AS k FROM ax a, ax b, ax c WHERE a.i * a.i + b.i * b.i + c.i * c.i = 1),
-n AS (SELECT z, y, x, label, z + i AS nz, y + j AS ny, x + k AS nx FROM ref, o WHERE z + i BETWEEN 0 AND 31 AND y + j BETWEEN 0 AND 63 AND x + k BETWEEN 0 AND 63)
+n AS (SELECT z, y, x, label, z + i AS nz, y + j AS ny, x + k AS nx FROM ref, o WHERE z + i BETWEEN 0 AND 31 AND y + j BETWEEN 0 AND 63 AND x + k >= 0 AND x + k < (SELECT w FROM width))
 SELECT DISTINCT n.z, n.y, n.x, n.label FROM n LEFT JOIN ref r ON r.z = nz AND r.y = ny AND r.x = nx WHERE r.label IS NULL OR r.label <> n.label""")
 def boundary_voxels(spark, d):
-    return lb.boundary_voxels(fx.ref(spark, d), fx.SHAPE)
+    return lb.boundary_voxels(fx.ref(spark, d), fx.shape(spark, d))
+
+
+def _cc(src: str, reach: int, same: str = "1", axes: str = "zyx") -> str:
+    """CTEs: comp (z, y, x, same, root), the components of ``src`` with neighbours that differ in at most ``reach`` coordinates.
+
+    Runs along x are the nodes; a keyed recursion hands each the smallest id it can reach. root grows in raster order.
+    """
+    z = "z" if axes == "zyx" else "0"
+    steps = [(i, j, int(reach > abs(i) + abs(j))) for i in ((-1, 0, 1) if axes == "zyx" else (0,)) for j in (-1, 0, 1) if (i or j) and abs(i) + abs(j) <= reach]
+    near = ", ".join(f"({i}, {j}, {t})" for i, j, t in steps)
+    return f""", cell AS (SELECT *, x - row_number() OVER (PARTITION BY same, z, y ORDER BY x) AS g FROM (SELECT DISTINCT {same} AS same, {z} AS z, y, x FROM {src})),
+run AS (SELECT same, z, y, g, min(x) AS a, max(x) AS b, (CAST(z AS BIGINT) * 1000000 + y) * 1000000 + min(x) AS id FROM cell GROUP BY same, z, y, g),
+step AS (SELECT * FROM (VALUES {near}) s(i, j, t)),
+edge AS MATERIALIZED (SELECT r.id AS u, o.id AS w FROM (SELECT run.*, z + i AS nz, y + j AS ny, t FROM run, step) r JOIN run o ON o.same = r.same AND o.z = nz AND o.y = ny AND o.a <= r.b + t AND o.b >= r.a - t),
+near(id, root) USING KEY (id) AS (SELECT id, id FROM run UNION
+  SELECT edge.u, min(n.root) FROM near n JOIN edge ON n.id = edge.w JOIN recurring.near o ON o.id = edge.u WHERE n.root < o.root GROUP BY edge.u),
+comp AS (SELECT cell.z, cell.y, cell.x, cell.same, near.root FROM cell JOIN run USING (same, z, y, g) JOIN near USING (id))
+"""
 
 
-_CC = """, o AS (SELECT a.i AS i, b.i AS j, c.i AS k FROM ax a, ax b, ax c WHERE a.i * a.i + b.i * b.i + c.i * c.i = 1),
-v AS (SELECT DISTINCT (z * 64 + y) * 64 + x AS id, z, y, x FROM pred),
-e AS (SELECT v.id AS u, w.id AS w FROM v, o, v w WHERE w.z = v.z + i AND w.y = v.y + j AND w.x = v.x + k),
-reach AS (SELECT id, id AS root FROM v UNION SELECT e.w, reach.root FROM reach JOIN e ON e.u = reach.id WHERE reach.root < e.w),
-comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
-"""
+_REC = fx.SQL.replace("WITH", "WITH RECURSIVE", 1)
 
 
-@query(_CC + "SELECT z, y, x, CAST(dense_rank() OVER (ORDER BY root) AS INT) AS comp FROM comp JOIN v USING (id)", base=fx.SQL.replace("WITH", "WITH RECURSIVE", 1))
+@query(_cc("pred", 1) + "SELECT z, y, x, CAST(dense_rank() OVER (ORDER BY root) AS INT) AS comp FROM comp", base=_REC)
 def components_6(spark, d):
     return lb.components(fx.pred(spark, d).select("z", "y", "x"), 6)
 
 
-@query(_CC + """, s AS (SELECT root, count(*) AS n FROM comp GROUP BY root)
-SELECT z, y, x FROM comp JOIN v USING (id) WHERE root = (SELECT root FROM s ORDER BY n DESC, root LIMIT 1)""", base=fx.SQL.replace("WITH", "WITH RECURSIVE", 1))
+@query(_cc("pred", 1) + """, s AS (SELECT root, count(*) AS n FROM comp GROUP BY root)
+SELECT z, y, x FROM comp WHERE root = (SELECT root FROM s ORDER BY n DESC, root LIMIT 1)""", base=_REC)
 def largest_component(spark, d):
     return lb.largest_component(fx.pred(spark, d).select("z", "y", "x"), 6)
 
 
-@query(_CC + "SELECT z, y, x FROM comp JOIN v USING (id) WHERE root IN (SELECT root FROM comp GROUP BY root HAVING count(*) >= 200)", base=fx.SQL.replace("WITH", "WITH RECURSIVE", 1))
+@query(_cc("pred", 1) + "SELECT z, y, x FROM comp WHERE root IN (SELECT root FROM comp GROUP BY root HAVING count(*) >= 200)", base=_REC)
 def remove_small_components(spark, d):
     return lb.remove_small_components(fx.pred(spark, d).select("z", "y", "x"), 200, 6)
 
 
-@query()
+@query(_cc("ref", 3, "label") + """, n AS (SELECT same, root, row_number() OVER (ORDER BY same, root) AS label FROM comp GROUP BY same, root HAVING count(*) >= 8)
+SELECT z, y, x, CAST(n.label AS INT) AS label FROM comp JOIN n USING (same, root)""", base=_REC)
 def split_components(spark, d):
     return lb.split_components(fx.ref(spark, d), 8).select("z", "y", "x", "label")
 
 
-@query()
+@query(_cc("ref", 1, "label") + """, n AS (SELECT same, root, row_number() OVER (PARTITION BY same ORDER BY count(*) DESC, root) AS k FROM comp GROUP BY same, root)
+SELECT z, y, x, same AS label FROM comp JOIN n USING (same, root) WHERE k = 1""", base=_REC)
 def largest_component_per_label(spark, d):
     return lb.largest_component_per_label(fx.ref(spark, d)).select("z", "y", "x", "label")
 
@@ -173,10 +192,11 @@ def largest_component_per_label(spark, d):
 def fill_holes(spark, d):
     """The boundary of the reference volume's foreground, filled again."""
     own = fx.ref(spark, d).select("z", "y", "x", F.lit(1).alias("label"))
-    return lb.fill_holes(lb.boundary_voxels(own, fx.SHAPE), fx.SHAPE)
+    return lb.fill_holes(lb.boundary_voxels(own, fx.shape(spark, d)), fx.shape(spark, d))
 
 
-@query()
+@query(_cc("pred", 3) + """, c AS (SELECT root FROM comp LEFT JOIN ref USING (z, y, x) GROUP BY root HAVING count(label) / count(*) >= 0.01::DOUBLE)
+SELECT z, y, x FROM comp JOIN c USING (root)""", base=_REC)
 def valid_region(spark, d):
     return mt.valid_region(fx.ref(spark, d), fx.pred(spark, d))
 
@@ -231,10 +251,11 @@ def background_correct(spark, d):
 def _box(cols: dict[str, str], src: str = "vol", size: int = 3) -> str:
     """CTEs b_z, b_y, b_x: box means along one axis after the other over mirrored rows."""
     before, after, out, last = size // 2, (size - 1) // 2, "", None
-    for a, n in (("z", 32), ("y", 64), ("x", 64)):
+    for a, n in (("z", "32"), ("y", "64"), ("x", "(SELECT w FROM width)")):
         rest = [k for k in "zyx" if k != a]
         rows = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in cols.items())} FROM {src}" if last is None else f"SELECT * FROM {last}"
-        out += f""", m_{a} AS (SELECT *, unnest(list_filter([{a}, CASE WHEN {a} < {before} THEN -1 - {a} END, CASE WHEN {a} >= {n - after} THEN {2 * n - 1} - {a} END], lambda q: q IS NOT NULL)) AS i_ FROM ({rows})),
+        ends = f"SELECT *, {a} AS i_ FROM ({rows}) UNION ALL SELECT *, -1 - {a} FROM ({rows}) WHERE {a} < {before} UNION ALL SELECT *, 2 * {n} - 1 - {a} FROM ({rows}) WHERE {a} >= {n} - {after}"
+        out += f""", m_{a} AS ({ends}),
 b_{a} AS (SELECT {', '.join(rest)}, CAST(i_ AS INT) AS {a}, {', '.join(c for c in cols)} FROM (SELECT {', '.join(rest)}, i_, {', '.join(f'avg({c}) OVER (PARTITION BY {rest[0]}, {rest[1]} ORDER BY i_ ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING) AS {c}' for c in cols)} FROM m_{a}) WHERE i_ >= 0 AND i_ < {n})"""
         last = f"b_{a}"
     return out
@@ -242,17 +263,17 @@ b_{a} AS (SELECT {', '.join(rest)}, CAST(i_ AS INT) AS {a}, {', '.join(c for c i
 
 @query(_box({"bm": "v"}) + " SELECT z, y, x, round(bm, 6) AS v FROM b_x")
 def box_mean(spark, d):
-    return _rounded(st.box_mean(fx.volume(spark, d), ["v"], 3, fx.SHAPE), "v")
+    return _rounded(st.box_mean(fx.volume(spark, d), ["v"], 3, fx.shape(spark, d)), "v")
 
 
 @query(_box({"bm": "v", "bs": "v * v"}) + " SELECT z, y, x, round(bs - bm * bm, 5) AS var FROM b_x")
 def local_variance(spark, d):
-    return _rounded(st.local_variance(fx.volume(spark, d), 3, fx.SHAPE).drop("v"), "var", digits=5)
+    return _rounded(st.local_variance(fx.volume(spark, d), 3, fx.shape(spark, d)).drop("v"), "var", digits=5)
 
 
 @query(_box({"bm": "v"}) + " SELECT z, y, x, round(v - bm, 6) + 0.0 AS v FROM b_x JOIN vol USING (z, y, x)")
 def difference_of_means(spark, d):
-    return st.difference_of_means(fx.volume(spark, d), 3, fx.SHAPE, False).withColumn("v", F.round("v", 6) + F.lit(0.0))
+    return st.difference_of_means(fx.volume(spark, d), 3, fx.shape(spark, d), False).withColumn("v", F.round("v", 6) + F.lit(0.0))
 
 
 @query(_box({"m1": "v", "s1": "v * v", "m2": "(v * 2 + x)", "s2": "(v * 2 + x) * (v * 2 + x)"}) + """
@@ -260,7 +281,7 @@ def difference_of_means(spark, d):
 SELECT z, y, x, round((a * wa + b * wb) / (wa + wb + 1e-20), 5) AS v FROM w""")
 def combine_by_variance(spark, d):
     v = fx.volume(spark, d)
-    return _rounded(st.combine_by_variance([v, v.withColumn("v", F.col("v") * 2 + F.col("x"))], 3, fx.SHAPE), "v", digits=5)
+    return _rounded(st.combine_by_variance([v, v.withColumn("v", F.col("v") * 2 + F.col("x"))], 3, fx.shape(spark, d)), "v", digits=5)
 
 
 @query(_box({"mi": "v", "mg": "(v + x)", "gg": "(v + x) * (v + x)", "ig": "v * (v + x)"}) + """
@@ -268,7 +289,7 @@ def combine_by_variance(spark, d):
 SELECT z, y, x, round(a * g + mi - a * mg, 4) AS q FROM q""")
 def guided_filter(spark, d):
     v = fx.volume(spark, d).select("z", "y", "x", F.col("v").alias("i"), (F.col("v") + F.col("x")).alias("g"))
-    return _rounded(st.guided_filter(v, 3, 0.01, fx.SHAPE), "q", digits=4)
+    return _rounded(st.guided_filter(v, 3, 0.01, fx.shape(spark, d)), "q", digits=4)
 
 
 def _grad(a: str) -> str:
