@@ -72,7 +72,7 @@ def test_passages_odd(spark):
 
 def test_passage_bucket_grid(spark):
     from voxloom.llm.components import connected_components
-    from voxloom.llm.substring_dedup import paragraph_links, repeated_passages
+    from voxloom.llm.substring_dedup import PARAGRAPHS, paragraph_links, units
 
     rng = random.Random(2)
     base = prose(rng, 20)
@@ -83,8 +83,7 @@ def test_passage_bucket_grid(spark):
             q[-1 if i % 2 else 0] = f"z{i}"
         rows.append((i, " ".join(q)))
     df = spark.createDataFrame(rows, SCHEMA)
-    occ, _, _ = repeated_passages(df)
-    roots = connected_components(paragraph_links(df, occ.where("pid is not null"), cell=8)).collect()
+    roots = connected_components(paragraph_links(df, units(df).where(f"kind = {PARAGRAPHS}"), cell=8)).collect()
     assert len(roots) == 60 and len({r.root for r in roots}) == 1
 
 

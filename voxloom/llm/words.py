@@ -17,7 +17,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     p = np.full(n, _P, np.uint64)
     p[0] = 1
     return np.multiply.accumulate(p)
@@ -40,7 +40,7 @@ def words(lowered: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             size = e - s
             first = np.cumsum(size) - size
             inside = np.arange(int(size.sum())) - np.repeat(first, size)
-            pw = _powers(int(size.max()))
+            pw = powers(int(size.max()))
             h = np.add.reduceat((part[flag[1:-1]].astype(np.uint64) + np.uint64(1)) * pw[inside], first)
             out.append((s + at, e + at, mix(h)))
         at = to
