@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from voxloom import more_queries  # noqa: F401  registers its own
+from voxloom import field_queries, more_queries  # noqa: F401  register their own
 from voxloom.queries import QUERIES, SQL
 
-TABLES = "region nation customer supplier part orders lineitem events labels pages embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events labels pages embeddings documents".split()
 
 
 @pytest.fixture(scope="module")

@@ -13,7 +13,7 @@ from .operators import thresholds as th
 from .plans import fixtures as fx
 from .plans import pipelines as pl
 from .plans.params import Aggregation, Binary, Descent, Indirect
-from .queries import _rounded, query
+from .queries import _REC, _cc, _rounded, query
 
 _FLOW = """, flow AS (SELECT ref.z, ref.y, ref.x, ref.label, CAST(cz - ref.z AS DOUBLE) / n AS dz, CAST(cy - ref.y AS DOUBLE) / n AS dy, CAST(cx - ref.x AS DOUBLE) / n AS dx
 FROM (SELECT ref.*, cz, cy, cx, sqrt(greatest(1, (cz - ref.z) * (cz - ref.z) + (cy - ref.y) * (cy - ref.y) + (cx - ref.x) * (cx - ref.x))) AS n FROM ref JOIN seeds ON seeds.id = ref.label) ref)
@@ -71,12 +71,20 @@ def optimal_histogram(spark, d):
     return th.optimal_histogram(spark.read.parquet(f"{d}/lineitem.parquet"), "l_extendedprice")
 
 
-@query()
+@query(""", f AS (SELECT v FROM vol WHERE v <> 0), m AS (SELECT min(v) AS lo, (max(v) - min(v)) / 256 AS w FROM f),
+h AS (SELECT CAST(least(floor((v - lo) / w), 255) AS INT) AS bin, count(*) AS n, any_value(lo) AS lo, any_value(w) AS w FROM f, m GROUP BY 1), c AS (SELECT bin, n, lo + (bin + 0.5::DOUBLE) * w AS centre FROM h),
+p AS (SELECT bin AS pb, n AS pn FROM c ORDER BY n DESC, bin LIMIT 1), e AS (SELECT bin AS eb, n AS en FROM c ORDER BY bin DESC LIMIT 1),
+d AS (SELECT centre, bin, (eb - pb) / 256 AS dx, (en - pn) / pn AS dy, (bin - pb) / 256 AS ax, (n - pn) / pn AS ay FROM c, p, e WHERE bin >= pb)
+SELECT centre AS threshold FROM d ORDER BY round((dy * ax - dx * ay) / sqrt(dx * dx + dy * dy + 1e-300), 9) DESC, bin LIMIT 1""")
 def rosin_threshold(spark, d):
     return th.rosin(fx.volume(spark, d))
 
 
-@query()
+@query(""", m AS (SELECT min(v) AS lo, (max(v) - min(v)) / 64 AS w FROM vol), h AS (SELECT CAST(least(floor((v - lo) / w), 63) AS INT) AS bin, count(*) AS n FROM vol, m GROUP BY 1),
+b AS (SELECT bin, lo + (bin + 0.5::DOUBLE) * w AS centre, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 64)) AS bin) LEFT JOIN h USING (bin), m),
+s AS (SELECT bin, centre, avg(n) OVER (ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n FROM b),
+e AS (SELECT *, coalesce(lag(n) OVER (ORDER BY bin), 0) AS lo, coalesce(lead(n) OVER (ORDER BY bin), 0) AS hi FROM s), t AS (SELECT min(bin) AS t FROM e WHERE n > lo AND n >= hi)
+SELECT min_by(centre, bin) AS threshold FROM e, t WHERE bin > t AND n <= lo AND n < hi""")
 def first_minimum_threshold(spark, d):
     return th.first_minimum(fx.volume(spark, d))
 
@@ -110,22 +118,37 @@ def relabel_slices(spark, d):
     return sl.relabel_slices(_xy(spark, d))
 
 
-@query()
+_PIECE = _cc("ref", 2, "label", axes="yx")
+
+
+@query(_PIECE + ", o AS (SELECT same, z, root, row_number() OVER (ORDER BY z, root) AS n FROM comp GROUP BY same, z, root) SELECT z AS slice, y AS r, x AS c, n AS label FROM comp JOIN o USING (same, z, root)", base=_REC)
 def component_slices(spark, d):
     return sl.component_slices(_xy(spark, d))
 
 
-@query()
+@query(_PIECE + ", o AS (SELECT same, z, root, row_number() OVER (PARTITION BY z ORDER BY same, root) AS n FROM comp GROUP BY same, z, root HAVING count(*) > 10) SELECT z AS slice, y AS r, x AS c, n AS label FROM comp JOIN o USING (same, z, root)", base=_REC)
 def filter_slice_labels(spark, d):
     return sl.filter_slice_labels(_xy(spark, d), 10)
 
 
-@query()
+_BESIDE = """, off AS (SELECT unnest([-2, -1, 0, 1]) AS o),
+own AS (SELECT z, y, x, label, o, CASE WHEN z + o < 0 THEN -(z + o) WHEN z + o >= 32 THEN 62 - (z + o) ELSE z + o END AS at FROM ref, off),
+shared AS (SELECT own.z, own.label, own.at, own.o, r.label AS other, count(*) AS n FROM own JOIN ref r ON r.z = own.at AND r.y = own.y AND r.x = own.x GROUP BY ALL)
+"""
+
+
+@query(_BESIDE + """, hit AS (SELECT DISTINCT z, label, o FROM shared), g AS (SELECT *, o - row_number() OVER (PARTITION BY z, label ORDER BY o) AS g FROM hit),
+runs AS (SELECT z, label, count(*) AS len, min(o) AS lo, max(o) AS hi FROM g GROUP BY z, label, g.g), best AS (SELECT *, row_number() OVER (PARTITION BY z, label ORDER BY len DESC, lo) AS k FROM runs)
+SELECT ref.z AS slice, y AS r, x AS c, ref.label FROM ref JOIN best b ON b.z = ref.z AND b.label = ref.label WHERE k = 1 AND len >= 3 AND lo <= 0 AND hi >= -1""")
 def persistent_slices(spark, d):
     return sl.persistent_slices(_xy(spark, d), fx.Z, 5)
 
 
-@query()
+@query(_BESIDE + """, a AS (SELECT z, label, count(*) AS a FROM ref GROUP BY ALL),
+j AS (SELECT s.*, a.a AS b, row_number() OVER (PARTITION BY s.z, s.label, s.o ORDER BY a.a DESC, other) AS k FROM shared s JOIN a ON a.z = s.at AND a.label = s.other),
+i AS (SELECT j.z, j.label, j.n / (a.a + j.b - j.n) AS iou FROM j JOIN a ON a.z = j.z AND a.label = j.label WHERE k = 1),
+v AS (SELECT z, label, sqrt(greatest(sum(iou * iou) / 4 - pow(sum(iou) / 4, 2), 0)) AS sd FROM i GROUP BY ALL)
+SELECT ref.z AS slice, y AS r, x AS c, ref.label FROM ref LEFT JOIN v ON v.z = ref.z AND v.label = ref.label WHERE NOT coalesce(sd > 0.3::DOUBLE, false)""")
 def stable_slices(spark, d):
     return sl.stable_slices(_xy(spark, d), fx.Z, 5, 0.3)
 
@@ -144,7 +167,18 @@ def remove_bad_flows(spark, d):
     return fl.remove_bad_flows(f.select("z", "y", "x", "label"), f, other, 2.0)
 
 
-@query()
+def _smooth(sigma: float) -> str:
+    """CTEs g_z, g_y, g_x: Gaussian means along one axis after the other over rows mirrored at both ends."""
+    r, last, out = int(4 * sigma + 0.5), "vol", f", wt AS (SELECT o, w / sum(w) OVER () AS w FROM (SELECT o, exp(-0.5::DOUBLE * o * o / {sigma * sigma}::DOUBLE) AS w FROM (SELECT unnest(range(-{int(4 * sigma + 0.5)}, {int(4 * sigma + 0.5) + 1})) AS o)))"
+    for a, n in (("z", "32"), ("y", "64"), ("x", "(SELECT w FROM width)")):
+        rest = ", ".join(k for k in "zyx" if k != a)
+        out += f""", e_{a} AS (SELECT {rest}, {a} AS i_, v FROM {last} UNION ALL SELECT {rest}, -1 - {a}, v FROM {last} WHERE {a} < {r} UNION ALL SELECT {rest}, 2 * {n} - 1 - {a}, v FROM {last} WHERE {a} >= {n} - {r}),
+g_{a} AS (SELECT {rest}, CAST(i_ + o AS INT) AS {a}, sum(v * wt.w) AS v FROM e_{a}, wt WHERE i_ + o >= 0 AND i_ + o < {n} GROUP BY {rest}, i_ + o)"""
+        last = f"g_{a}"
+    return out
+
+
+@query(_smooth(1.0) + " SELECT z, y, x, round(v, 6) AS v FROM g_x")
 def gaussian(spark, d):
     return _rounded(sm.gaussian(fx.volume(spark, d), ["v"], 1.0, fx.shape(spark, d)), "v")
 

@@ -78,10 +78,20 @@ def size_statistics_filter(labels: DataFrame, factor: float = 10.0, by: tuple =
 
 
 def intensity_filter(labels: DataFrame, volume: DataFrame, threshold: float | str = "mean", by: tuple = ()) -> DataFrame:
-    """Drop labels whose mean of ``v`` is below a number, or the mean or median of the labels' means."""
+    """Drop labels whose mean of ``v`` is below a number, or the mean, the median or Otsu's threshold of the labels' means.
+
+    Otsu's needs two different means at least; without them all labels stay. It takes no ``by``.
+    """
     m = labels.join(volume.select(*by, *AXES, "v"), [*by, *AXES]).groupBy(*by, "label").agg(F.avg("v").alias("m"))
     if not isinstance(threshold, str):
         return _keep(labels, m.where(F.col("m") >= threshold), by)
+    if threshold == "otsu":
+        if by:
+            raise ValueError("Otsu's threshold is one volume's")
+        from .intensity import otsu
+
+        t = otsu(m.select(F.col("m").alias("v"))).select(F.col("threshold").alias("_t"))
+        return _keep(labels, m.crossJoin(F.broadcast(t)).where(F.col("_t").isNull() | (F.col("m") >= F.col("_t"))), by)  # one row
     agg = {"mean": F.avg("m"), "median": F.median("m")}[threshold]
     t = m.groupBy(*by).agg(agg.alias("_t"))
     j = m.join(t, list(by)) if by else m.crossJoin(F.broadcast(t))  # one row
@@ -254,3 +264,31 @@ def boundary_voxels(labels: DataFrame, shape: tuple[int, int, int]) -> DataFrame
     n = n.where(" and ".join(f"{a} >= 0 and {a} < {s}" for a, s in zip(AXES, shape)))
     j = n.join(labels.select(*[F.col(a).cast("int").alias(a) for a in AXES], "label"), list(AXES), "left").where("label is null or label <> own")
     return j.select(F.col("oz").alias("z"), F.col("oy").alias("y"), F.col("ox").alias("x"), F.col("own").alias("label")).distinct()
+
+
+def relabel_truth(labels: DataFrame, min_size: int = 10, reorder: bool = True) -> DataFrame:
+    """Each label's fully connected pieces of ``min_size`` voxels or more as labels of their own, by centroid if ``reorder``."""
+    out = split_components(labels, min_size).select(*AXES, "label")
+    return reorder_labels(out) if reorder else out
+
+
+def expand_labels(seeds: DataFrame, mask: DataFrame) -> DataFrame:
+    """Seed labels grown over a mask (z, y, x) from its deepest places; parts of the mask without a seed are left out.
+
+    Each fully connected part of the mask is flooded on its own, by a task that holds its box.
+    """
+    parts = components(mask.select(*AXES), 26)
+    rows = parts.join(seeds.select(*AXES, F.col("label").cast("long").alias("label")), list(AXES), "left").fillna(0, ["label"])
+    seeded = rows.groupBy("comp").agg(F.max("label").alias("_m")).where("_m > 0").select("comp")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.stack([pdf[a].to_numpy() for a in AXES])
+        low = at.min(axis=1, keepdims=True) - 1
+        own = tuple(at - low)
+        m = np.zeros(at.max(axis=1) - low[:, 0] + 2, np.int64)
+        s = m.copy()
+        m[own], s[own] = 1, pdf["label"]
+        out = kernels.flood(s, m > 0, -kernels.label_distance(m))
+        return pdf[list(AXES)].assign(label=out[own].astype("int32"))
+
+    return rows.join(seeded, "comp", "left_semi").groupBy("comp").applyInPandas(run, "z int, y int, x int, label int").where("label > 0")

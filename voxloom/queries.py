@@ -142,12 +142,11 @@ def boundary_voxels(spark, d):
 def _cc(src: str, reach: int, same: str = "1", axes: str = "zyx") -> str:
     """CTEs: comp (z, y, x, same, root), the components of ``src`` with neighbours that differ in at most ``reach`` coordinates.
 
-    Runs along x are the nodes; a keyed recursion hands each the smallest id it can reach. root grows in raster order.
+    Without z among the ``axes`` each slice is on its own. Runs along x are the nodes; a keyed recursion hands each the smallest id it can reach. root grows in raster order.
     """
-    z = "z" if axes == "zyx" else "0"
     steps = [(i, j, int(reach > abs(i) + abs(j))) for i in ((-1, 0, 1) if axes == "zyx" else (0,)) for j in (-1, 0, 1) if (i or j) and abs(i) + abs(j) <= reach]
     near = ", ".join(f"({i}, {j}, {t})" for i, j, t in steps)
-    return f""", cell AS (SELECT *, x - row_number() OVER (PARTITION BY same, z, y ORDER BY x) AS g FROM (SELECT DISTINCT {same} AS same, {z} AS z, y, x FROM {src})),
+    return f""", cell AS (SELECT *, x - row_number() OVER (PARTITION BY same, z, y ORDER BY x) AS g FROM (SELECT DISTINCT {same} AS same, z, y, x FROM {src})),
 run AS (SELECT same, z, y, g, min(x) AS a, max(x) AS b, (CAST(z AS BIGINT) * 1000000 + y) * 1000000 + min(x) AS id FROM cell GROUP BY same, z, y, g),
 step AS (SELECT * FROM (VALUES {near}) s(i, j, t)),
 edge AS MATERIALIZED (SELECT r.id AS u, o.id AS w FROM (SELECT run.*, z + i AS nz, y + j AS ny, t FROM run, step) r JOIN run o ON o.same = r.same AND o.z = nz AND o.y = ny AND o.a <= r.b + t AND o.b >= r.a - t),
