@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from .functions import fields as fd
 from .operators import flows as fl
+from .operators import labels as lb
 from .operators import matching as mc
+from .operators import mesh as ms
 from .operators import slices as sl
 from .operators import smooth as sm
 from .operators import thresholds as th
 from .plans import fixtures as fx
 from .plans import pipelines as pl
-from .plans.params import Aggregation, Binary, Descent, Indirect
+from .operators import refine as rf
+from .plans.params import Aggregation, Binary, CombineProbs, Descent, Indirect, Postprocess, Preprocess
 from .queries import _REC, _cc, _rounded, query
 
 _FLOW = """, flow AS (SELECT ref.z, ref.y, ref.x, ref.label, CAST(cz - ref.z AS DOUBLE) / n AS dz, CAST(cy - ref.y AS DOUBLE) / n AS dy, CAST(cx - ref.x AS DOUBLE) / n AS dx
@@ -213,3 +216,75 @@ def aggregated_jaccard(spark, d):
 @query()
 def match_statistics(spark, d):
     return _rounded(mc.match_statistics(fx.ref(spark, d), fx.pred(spark, d)), "pre", "rec", "f1", "iou", "dice")
+
+
+@query()
+def mesh_properties(spark, d):
+    m = ms.mesh_of_mask(fx.ref(spark, d).select("z", "y", "x"), fx.shape(spark, d))
+    return _rounded(ms.mesh_properties(*m), "volume", "area", digits=4)
+
+
+@query()
+def aggregate_direct(spark, d):
+    """Three views of the same probabilities and flows of the reference labels."""
+    shape, ref = fx.shape(spark, d), fx.ref(spark, d)
+    v = fx.volume(spark, d).withColumn("v", F.when(F.col("v") >= 40, 4.0).otherwise(-4.0))
+    rows = fl.slices(ref)
+    p = Aggregation(probs=CombineProbs(prob_thresh=0.5, logits=True), binary=Binary(remove_small=20), descent=Descent(n_iter=50))
+    return pl.aggregate_direct({k: v for k in fl.VIEWS}, fl.slice_flows(rows, shape, "edt"), shape, p)
+
+
+@query()
+def preprocess(spark, d):
+    return _rounded(pl.preprocess(fx.volume(spark, d), fx.shape(spark, d), Preprocess(factor=0.5))[0], "v")
+
+
+@query()
+def postprocess(spark, d):
+    return pl.postprocess(fx.ref(spark, d), fx.shape(spark, d), None, Postprocess(min_size=20))
+
+
+@query()
+def diffuse_objects(spark, d):
+    return rf.diffuse_objects(fx.ref(spark, d), fx.volume(spark, d), fx.shape(spark, d), pad=3, iters=10)
+
+
+@query()
+def guide_objects(spark, d):
+    return rf.guide_objects(fx.ref(spark, d), fx.volume(spark, d), fx.shape(spark, d), pad=3, radius=5)
+
+
+@query()
+def relabel_truth(spark, d):
+    return lb.relabel_truth(fx.pred(spark, d), 10)
+
+
+@query()
+def expand_labels(spark, d):
+    return lb.expand_labels(fx.pred(spark, d), fx.ref(spark, d))
+
+
+@query()
+def advect_tiles(spark, d):
+    f = _flow(spark, d)
+    return fl.vote_clusters(fl.advect(f.select("z", "y", "x"), f, fx.shape(spark, d), tile=(32, 64, 64), n_iter=50), fx.shape(spark, d))
+
+
+@query()
+def median_filter(spark, d):
+    return sm.median_filter(fx.volume(spark, d), 3, fx.shape(spark, d))
+
+
+@query()
+def ridge_filter(spark, d):
+    return _rounded(sl.ridge_filter(fx.volume(spark, d), (2,)), "v")
+
+
+@query()
+def anisotropic_diffusion(spark, d):
+    return _rounded(sl.anisotropic_diffusion(fx.volume(spark, d), 2), "v")
+
+
+@query()
+def local_equalize(spark, d):
+    return _rounded(sl.local_equalize(fx.volume(spark, d), (32, 32)), "v")
