@@ -143,6 +143,22 @@ def test_urls_mined(spark):
     assert judge(pages.limit(0), labels).count() == 0
 
 
+def test_urls_long(spark):
+    """URLs of 200 path words, repeated and shuffled, do not make all subsets of them."""
+    import random
+
+    from voxloom.llm.url_rules import judge
+
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    urls = [(i, "http://bad.example.edu/" + "/".join(words)) for i in range(20)] + [(i, "http://bad.example.edu/" + "/".join(rng.sample(words, 100))) for i in range(20, 40)]
+    urls += [(i, f"http://good.example.edu/{'/'.join(rng.sample(words, 3))}") for i in range(40, 120)] + [(200, "http://bad.example.edu/other"), (201, "http://good.example.edu/other"), (202, "http://once.example.edu/")]
+    labels = spark.createDataFrame([(i, int(i >= 40), 0) for i in range(120)] + [(202, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in judge(spark.createDataFrame(urls, "page_id long, url string"), labels).collect()}
+    assert all(got[i] == "block" for i in range(40)) and got[200] == "block" and got[201] == "allow"
+    assert got[202] == "allow"  # one labelled page is no rule
+
+
 def test_sql_matches(spark, sf_dir):
     import duckdb
 
