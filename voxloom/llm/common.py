@@ -58,7 +58,7 @@ def discard(df: DataFrame) -> None:
 
 
 #: Bytes of an Arrow batch, beyond its last row.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 22
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -48,7 +48,7 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
 
 _OPEN: dict[tuple[str, bool], "Encoder"] = {}
 #: Characters of texts that are looked up together.
-SPAN = 3 << 21
+SPAN = 1 << 21
 #: Chunks of these characters alone are cut into pieces here as the tokenizer's own pattern does.
 _PLAIN = re.compile("[^\t-\r -~¡-±´-¸º»¿-ɏ‐-‧€]")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -65,12 +65,12 @@ class Encoder:
     A byte-level pre-tokenizer starts a piece at each space before a visible character, so a
     text's ids are those of its chunks between such spaces. A batch's texts are cut there,
     each distinct chunk is looked up once, new ones are cut into pieces, and only new pieces
-    go to the tokenizer. The ids of :data:`KEPT` chunks and pieces of at most :data:`WIDE` characters are kept, 100 MB a worker at most.
+    go to the tokenizer. The ids of :data:`KEPT` chunks and pieces of at most :data:`WIDE` characters are kept, 70 MB a worker at most.
     A text that holds the string of a special token goes to the tokenizer whole, unless
     ``special_as_text`` (their strings are then ordinary text).
     """
 
-    KEPT, WIDE = 700_000, 48
+    KEPT, WIDE = 400_000, 48
 
     def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
