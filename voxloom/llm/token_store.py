@@ -17,7 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .common import bound_batches, scratch_path
 from .files import Commit, filesystem
+from .words import mix, powers
 
 BLOCK, MAGIC, SUFFIX, FORMAT = 1 << 16, b"VXTOK1", ".tok", "voxloom_tokens"
 
@@ -48,12 +49,15 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
 
 _OPEN: dict[tuple[str, bool], "Encoder"] = {}
 #: Characters of texts that are looked up together.
-SPAN = 1 << 21
+SPAN = 3 << 20
 #: Chunks of these characters alone are cut into pieces here as the tokenizer's own pattern does.
 _PLAIN = re.compile("[^\t-\r -~¡-±´-¸º»¿-ɏ‐-‧€]")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+_POWERS = powers(50), np.multiply.accumulate(np.r_[np.uint64(1), np.full(49, 0xD6E8FEB86659FD93, np.uint64)])
+
+
 def _opens_piece(c: str) -> bool:
     """Whether a piece starts at any space before ``c``: ``c`` is no white space in anyone's view."""
     return "!" <= c <= "~" or c > "\xa0" and not c.isspace() and c not in "\u180e\u200b\ufeff"
@@ -65,12 +69,13 @@ class Encoder:
     A byte-level pre-tokenizer starts a piece at each space before a visible character, so a
     text's ids are those of its chunks between such spaces. A batch's texts are cut there,
     each distinct chunk is looked up once, new ones are cut into pieces, and only new pieces
-    go to the tokenizer. The ids of :data:`KEPT` chunks and pieces of at most :data:`WIDE` characters are kept, 70 MB a worker at most.
+    go to the tokenizer. The ids of :data:`KEPT` chunks and pieces of at most :data:`WIDE` bytes
+    are kept in a table of numpy arrays under 96 bits of hash (60 MB a worker at most).
     A text that holds the string of a special token goes to the tokenizer whole, unless
     ``special_as_text`` (their strings are then ordinary text).
     """
 
-    KEPT, WIDE = 400_000, 48
+    KEPT, WIDE = 1_200_000, 48
 
     def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -90,8 +95,8 @@ class Encoder:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for k, v in vocab.items():
             self.n_bytes[v] = len(k)
-        self.kept: dict[str, int] = {}
-        self.first, self.size, self.ids, self.n_ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, "<u4"), 0
+        self.ids, self.n_ids, self.n_kept = np.zeros(4096, "<u4"), 0, 0
+        self._room(1 << 12)
 
     @classmethod
     def of(cls, path: str, special_as_text: bool = False) -> "Encoder":
@@ -119,35 +124,78 @@ class Encoder:
         ids, size = self._each(chunks)
         return ids, np.cumsum(size) - size, size
 
-    def _keep(self, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, chunks: list[str]) -> None:
-        few = [i for i, c in enumerate(chunks) if len(c) <= self.WIDE][: self.KEPT - len(self.kept)]
-        if not few:
+    def _room(self, slots: int) -> None:
+        """An empty table: two hashes, where the ids begin and their number; the first hash is 0 in a free slot."""
+        self.h1, self.h2 = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32)
+        self.begin, self.size = np.zeros(slots, np.int32), np.zeros(slots, np.uint8)
+
+    def _hashes(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(64 bits, 32 bits, whether the key is short enough to be kept)."""
+        off = np.frombuffer(keys.buffers()[1], np.int64, len(keys) + 1, keys.offset * 8)
+        raw = np.frombuffer(keys.buffers()[2] or b"", np.uint8)[off[0] : off[-1]].astype(np.uint64) + np.uint64(1)
+        n = np.diff(off)
+        inside = np.minimum(np.arange(len(raw)) - np.repeat(off[:-1] - off[0], n), self.WIDE)
+        sums = [np.r_[np.uint64(0), np.cumsum(raw * p[inside])] for p in _POWERS]
+        a, b = (c[off[1:] - off[0]] - c[off[:-1] - off[0]] for c in sums)
+        return np.maximum(mix(a + n.astype(np.uint64)), np.uint64(1)), (mix(b) >> np.uint64(32)).astype(np.uint32), n <= self.WIDE
+
+    def _keep(self, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: pa.Array) -> None:
+        h1, h2, ok = self._hashes(keys)
+        few = np.flatnonzero(ok)[: max(0, self.KEPT - self.n_kept)]
+        few = few[np.unique(h1[few], return_index=True)[1]]
+        if not len(few):
             return
-        own, n, k = size[few], len(self.kept), len(few)
+        while (self.n_kept + len(few)) * 5 > len(self.h1) * 3:
+            old = self.h1, self.h2, self.begin, self.size
+            self._room(len(self.h1) * 2)
+            held = np.flatnonzero(old[0])
+            self._put(*(x[held] for x in old))
+        own = size[few]
         ids = _gather(ids, begin[few], own)
-        while n + k > len(self.first):
-            self.first, self.size = np.r_[self.first, self.first * 0], np.r_[self.size, self.size * 0]
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.r_[self.ids, self.ids * 0]
-        self.first[n : n + k], self.size[n : n + k] = self.n_ids + np.cumsum(own) - own, own
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self._put(h1[few], h2[few], (self.n_ids + np.cumsum(own) - own).astype(np.int32), own.astype(np.uint8))
         self.n_ids += len(ids)
-        self.kept.update(zip((chunks[i] for i in few), range(n, n + k)))
-
-    def _known(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.n_kept += len(few)
+
+    def _put(self, h1: np.ndarray, h2: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        mask = np.uint64(len(self.h1) - 1)
+        left, slot = np.arange(len(h1)), h1 & mask
+        while len(left):
+            free = np.flatnonzero(self.h1[slot] == 0)
+            at, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            own = left[won]
+            self.h1[at], self.h2[at], self.begin[at], self.size[at] = h1[own], h2[own], begin[own], size[own]
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left, slot = left[rest], slot[rest] + np.uint64(1) & mask
+
+    def _known(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which have no ids here, where those of the others begin in self.ids, their number)."""
-        at = np.fromiter(map(self.kept.get, keys, repeat(-1)), np.int64, len(keys))
-        return np.flatnonzero(at < 0), np.where(at < 0, 0, self.first[at]), np.where(at < 0, 0, self.size[at])
-
-    def _found(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h1, h2, ok = self._hashes(keys)
+        mask, at = np.uint64(len(self.h1) - 1), np.full(len(h1), -1, np.int64)
+        left = np.flatnonzero(ok)
+        slot = h1[left] & mask
+        while len(left):
+            there = self.h1[slot]
+            hit = (there == h1[left]) & (self.h2[slot] == h2[left])
+            at[left[hit]] = slot[hit]
+            on = ~hit & (there != 0)
+            left, slot = left[on], slot[on] + np.uint64(1) & mask
+        return np.flatnonzero(at < 0), np.where(at < 0, 0, self.begin[at]).astype(np.int64), np.where(at < 0, 0, self.size[at]).astype(np.int64)
+
+    def _found(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, where each chunk's begin, their number); the chunks are distinct."""
         new, begin, size = self._known(chunks)
         if not len(new):
             return self.ids, begin, size
+        missing = chunks.take(pa.array(new))
         # a text's first chunk, which has no space before it, goes to the library as it is
-        cut = [_PIECE.findall(c) if c[:1] == " " and not c[1:].isalpha() and not _PLAIN.search(c) else (c,) for c in (chunks[i] for i in new.tolist())]
+        cut = [_PIECE.findall(c) if c[:1] == " " and not c[1:].isalpha() and not _PLAIN.search(c) else (c,) for c in missing.to_pylist()]
         pieces = list(dict.fromkeys(chain.from_iterable(cut)))
-        fresh, at, many = self._known(pieces)
+        fresh, at, many = self._known(pa.array(pieces, pa.large_string()))
         pools, base = [self.ids], len(self.ids)
         kinds: tuple[list[int], list[int], list[int]] = [], [], []
         for i in fresh.tolist():
@@ -165,7 +213,7 @@ class Encoder:
                 at[which], many[which] = base + first, n
                 pools.append(ids)
                 base += len(ids)
-                kept.append((ids, first, n, own))
+                kept.append((ids, first, n, pa.array(own, pa.large_string())))
         number = dict(zip(pieces, range(len(pieces))))
         flat = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64)
         n_pieces = np.fromiter(map(len, cut), np.int64, len(cut))
@@ -176,8 +224,8 @@ class Encoder:
         begin[new] = base + np.cumsum(size[new]) - size[new]
         for x in kept:
             self._keep(*x)
-        several = new[n_pieces > 1]
-        self._keep(own, begin[several] - base, size[several], [chunks[i] for i in several.tolist()])
+        several = np.flatnonzero(n_pieces > 1)
+        self._keep(own, begin[new[several]] - base, size[new[several]], missing.take(pa.array(several)))
         return np.concatenate([pool, own]), begin, size
 
     def _chunked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,26 +237,26 @@ class Encoder:
         heads = pc.utf8_slice_codeunits(coded.dictionary, 0, 1).dictionary_encode()
         opens = np.array([_opens_piece(c or " ") for c in heads.dictionary.to_pylist()], bool)[heads.indices.to_numpy()][code]
         opens[first] = True
-        keys = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string())).to_pylist()
-        n = len(keys)
+        n = len(coded.dictionary)
         # a chunk that opens no piece belongs to the one before it, space and all
         tails: dict[int, list[str]] = {}
         head = np.maximum.accumulate(np.where(opens, np.arange(len(opens)), 0))
-        for i in np.flatnonzero(~opens).tolist():
-            tails.setdefault(int(head[i]), []).append(keys[code[i]])
+        name = lambda at: coded.dictionary.take(pa.array(code[at])).to_pylist()
+        loose = np.flatnonzero(~opens)
+        for i, c in zip(head[loose].tolist(), name(loose)):
+            tails.setdefault(i, []).append(c)
         named: dict[str, int] = {}
-        for f in first.tolist():
-            key = "".join([keys[code[f]][1:], *tails.pop(f, ())])
-            code[f] = n + named.setdefault(key, len(named))
-        for i, tail in tails.items():
-            code[i] = n + named.setdefault("".join([keys[code[i]], *tail]), len(named))
-        keys += named
+        starts = [(f, " ".join([c, *tails.pop(f, ())])) for f, c in zip(first.tolist(), name(first))]
+        starts += [(i, " ".join(["", c, *tails[i]])) for i, c in zip(tails, name(list(tails)))]
+        for i, key in starts:
+            code[i] = n + named.setdefault(key, len(named))
         code = code[opens]
-        used = np.zeros(len(keys), bool)
+        used = np.zeros(n + len(named), bool)
         used[code] = True
-        place = np.cumsum(used) - 1
-        pool, begin, size = self._found(list(compress(keys, used.tolist())))
-        code = place[code]
+        space = pa.scalar(" ", pa.large_string())
+        keys = pc.binary_join_element_wise(space, coded.dictionary.filter(pa.array(used[:n])), pa.scalar("", pa.large_string()))
+        pool, begin, size = self._found(pa.concat_arrays([keys, pa.array(list(named), pa.large_string())]))
+        code = (np.cumsum(used) - 1)[code]
         n_chunks = np.add.reduceat(opens.astype(np.int64), first)
         each = size[code]
         return _gather(pool, begin[code], each), np.add.reduceat(each, np.cumsum(n_chunks) - n_chunks)
