@@ -206,3 +206,39 @@ def test_pipeline(spark, sf_dir):
     last = cp.STAGES[-1][1](spark, kept[4], sf_dir).collect()
     assert sum(r.n_tokens for r in last) == sum(len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed)
     assert cp.run(spark, sf_dir).count() == len(mixed)
+
+
+def test_pipeline_odd(spark, tmp_path):
+    """Null, empty, repeated, missing and clashing values in every table, then empty tables."""
+    import random
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    own, leak = [prose(60) for _ in range(8)], prose(15)
+    rows = [(i, t, "a" if i % 2 else None) for i, t in enumerate(own)] + [(0, own[0], None), (20, own[1], "b"), (None, prose(40), "a"), (None, None, None), (21, None, "a"), (22, "", "a"), (23, "too short", "a"), (24, own[2] + " " + leak, "a"), (25, prose(30_000), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("doc_id", "text", "'en' as lang", "source", "cast(length(text) as long) as n_chars", "1 as d", "'h' as h", "0 as z", "2 as rn", "3 as turn", "4 as row")
+    tables = {
+        "documents": docs, "labels": spark.createDataFrame([(0, None, 0), (23, 0, 0), (None, 1, 1), (23, 0, 0), (99, 1, 1)], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([("x", leak), ("x", leak), (None, None), ("y", "")], "item_id string, text string"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/full/{name}.parquet")
+        df.limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    kept = docs
+    for name, f in cp.STAGES[:-1]:
+        out = f(spark, kept, f"{tmp_path}/full")
+        assert out.columns == docs.columns, name
+        ids = [r.doc_id for r in out.collect()]
+        if name == "quality":
+            assert sorted(map(str, ids)) == sorted(map(str, [*range(8), 0, 20, None, 24, 25]))
+        if name == "near_duplicates":
+            assert sorted(map(str, ids)) == sorted(map(str, [*range(8), None, 24, 25]))
+        if name == "decontaminate":
+            assert sorted(map(str, ids)) == sorted(map(str, [*range(8), None, 25]))
+        kept = spark.createDataFrame(out.collect(), out.schema)
+    assert {(r.d, r.h, r.z, r.rn, r.turn, r.row) for r in kept.collect()} == {(1, "h", 0, 2, 3, 4)}
+    got = cp.run(spark, f"{tmp_path}/full").collect()
+    assert len(got) == kept.count() and sorted(r.start for r in got)[0] == 0
+    assert cp.run(spark, f"{tmp_path}/empty").count() == 0

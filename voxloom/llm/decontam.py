@@ -150,7 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """``docs`` without the rows that hold a window of the benchmark."""
+    """``docs`` without the rows that hold a window of the benchmark; null texts hold none and stay, repeated rows go or stay alike."""
     _, hits, _ = find_hits(docs, benchmark, size)
     bad = hits.selectExpr("d as _vl_d", "z as _vl_z", "h as _vl_h").distinct()
     d = docs.withColumns({"_vl_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_vl_z": F.isnull("doc_id"), "_vl_h": F.xxhash64("text")})

@@ -212,7 +212,9 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     """The mix as documents: a row for each pass over a document, holding the words taken then.
 
     Columns are those of ``docs``; text holds the taken stretches, with their own white
-    space inside and a line end between stretches, and n_chars (if there) its length.
+    space inside and a line end between stretches, and n_chars (if there) its length. Texts
+    without words, null ones among them, give no row; repeated rows are taken each on its own;
+    an empty table gives no rows.
     """
     import re
 
@@ -223,10 +225,10 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     key = ["d", "z", "h", "rn"]
     per = pieces.groupBy(*key, "turn").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_vl_spans"))
     cols = docs.columns
-    d = docs.withColumns({"d_vl": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "z_vl": F.isnull("doc_id"), "h_vl": F.xxhash64("text", "source")})
-    d = d.withColumn("rn_vl", F.row_number().over(Window.partitionBy("d_vl", "z_vl", "h_vl").orderBy("d_vl")))
-    ren = per.select(*[F.col(c).alias(f"{c}_vl") for c in key], "_vl_spans")
-    j = d.join(ren, [f"{c}_vl" for c in key]).select(*cols, "_vl_spans")
+    # the row's own columns stand in a struct, so that none clashes with those added here
+    d = docs.select(F.struct(*cols).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.isnull("doc_id").alias("z"), F.xxhash64("text", "source").alias("h"))
+    d = d.withColumn("rn", F.row_number().over(Window.partitionBy("d", "z", "h").orderBy("d")))
+    j = d.join(per, key).select("row.*", F.col("_vl_spans"))
     word, at, has = re.compile(WORD.encode()), cols.index("text"), "n_chars" in cols
 
     def cut(batches):

@@ -213,7 +213,7 @@ def judged(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lost_pe
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lost_per_mille: int = LOST_PER_MILLE) -> DataFrame:
-    """``docs`` without the rows that :func:`judged` rejects.
+    """``docs`` without the rows that :func:`judged` rejects; null and empty texts go, repeated rows go or stay alike.
 
     A second pass over the texts applies the fitted forest, so no text is shuffled.
     """

@@ -480,7 +480,11 @@ def substring_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
 
 
 def dedup_passages(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with every repeated passage cut out of all texts but its first."""
+    """``docs`` with every repeated passage cut out of all texts but its first.
+
+    Null texts and texts without words stay as they are; rows that agree in doc_id and text are one document, so
+    neither is cut because of the other; rows without doc_id come last. A text may end up empty, its row stays.
+    """
     _, rep, _ = repeated_passages(docs, similarity)
     cuts = extended(docs, rep).where("gone").groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("_vl_cut")).withColumnsRenamed({"d": "_vl_d", "h": "_vl_h"})
     d = docs.withColumns({"_vl_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_vl_h": F.xxhash64("text")})
