@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,35 +12,64 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Scratch paths made in this process, oldest first.
+_MADE: list[str] = []
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, with its scheme.
 
-    Only where it is unset (tests, a notebook) a local folder is made and set.
+    Only where it is unset (tests, a notebook) a local folder is made and set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="voxloom-")
         sc.setCheckpointDir(found)
         import atexit
 
         atexit.register(shutil.rmtree, found, True)
         found = sc.getCheckpointDir()
-    return found.rstrip("/")
+    p, fs = _hadoop(spark, found)
+    return fs.makeQualified(p).toString().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path under the shared folder, deleted when the driver's JVM exits."""
+    """A new path under the shared folder, deleted by :func:`release` or when the driver's JVM exits."""
     path = f"{shared_dir(spark)}/voxloom-{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    p, fs = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    _MADE.append(path)
     return path
 
 
+def release(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the scratch paths made after the first ``since``, but for tables of :func:`materialize` in ``keep``.
+
+    Nothing that reads the others may run afterwards. ``len(made())`` is the number so far.
+    """
+    held = {getattr(df, "_voxloom_path", None) for df in keep}
+    for path in _MADE[since:]:
+        if path not in held:
+            drop_path(spark, path)
+    _MADE[since:] = [p for p in _MADE[since:] if p in held]
+
+
+def made() -> list[str]:
+    return list(_MADE)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
