@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm.common import materialize, table
+from voxloom.llm.common import made, materialize, release, table
 from voxloom.llm.decontam import drop_contaminated
 from voxloom.llm.mixing import mixed_documents
 from voxloom.llm.quality import keep_good
@@ -72,5 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the whole table documents; what each stage but the last keeps is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = len(made())
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, before, keep=(docs,))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -39,8 +39,8 @@ def ranked(rows: DataFrame, cols: list, name: str, by: tuple = ()) -> DataFrame:
     at = F.row_number().over(Window.partitionBy("_p").orderBy(*key))
     out = spread.withColumn("_at", at).join(F.broadcast(before), "_p").withColumn(name, F.col("_at") + F.col("_before")).drop("_p", "_at", "_before")
     if by:
-        first = out.groupBy(*by).agg((F.min(name) - 1).alias("_first"))
-        out = out.join(first, list(by)).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
+        start = out.groupBy(*by).agg((F.min(name) - 1).alias("_start"))
+        out = out.join(start, list(by)).withColumn(name, F.col(name) - F.col("_start")).drop("_start")
     return out.withColumn(name, F.col(name).cast("int"))
 
 
