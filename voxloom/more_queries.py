@@ -14,6 +14,7 @@ from .operators import smooth as sm
 from .operators import thresholds as th
 from .plans import fixtures as fx
 from .plans import pipelines as pl
+from .operators import planes as pn
 from .operators import refine as rf
 from .plans.params import Aggregation, Binary, CombineProbs, Descent, Indirect, Postprocess, Preprocess
 from .queries import _REC, _cc, _rounded, query
@@ -288,3 +289,15 @@ def anisotropic_diffusion(spark, d):
 @query()
 def local_equalize(spark, d):
     return _rounded(sl.local_equalize(fx.volume(spark, d), (32, 32)), "v")
+
+
+@query("SELECT z, round(avg(v), 6) AS score FROM vol GROUP BY z")
+def slice_contrast(spark, d):
+    return _rounded(pn.slice_contrast(fx.volume(spark, d)), "score")
+
+
+@query()
+def watershed_planes(spark, d):
+    shape, own = fx.shape(spark, d), _xy(spark, d)
+    flow = fl.slice_flows(fl.slices(fx.ref(spark, d), ("xy",)), shape, "edt")
+    return pn.cluster_planes(pn.advect_planes(own.select("slice", "r", "c"), flow, shape[1:], n_iter=50), shape[1:])
