@@ -255,7 +255,8 @@ def guide_objects(spark, d):
     return rf.guide_objects(fx.ref(spark, d), fx.volume(spark, d), fx.shape(spark, d), pad=3, radius=5)
 
 
-@query()
+@query(_cc("pred", 3, "label") + """, s AS (SELECT same, root, row_number() OVER (ORDER BY same, root) AS k, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx FROM comp GROUP BY same, root HAVING count(*) >= 10),
+n AS (SELECT same, root, CAST(row_number() OVER (ORDER BY cz, cy, cx, k) AS INT) AS label FROM s) SELECT z, y, x, n.label FROM comp JOIN n USING (same, root)""", base=_REC)
 def relabel_truth(spark, d):
     return lb.relabel_truth(fx.pred(spark, d), 10)
 
