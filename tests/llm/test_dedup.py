@@ -165,6 +165,41 @@ def test_lines_edits_by_length(spark, hot, spanning):
     assert got <= want and classes(got) == classes(want)
 
 
+def test_lines_blocks(spark):
+    """Links across the borders of blocks of lengths, with few segment rows a line."""
+    from pyspark.sql import functions as F
+
+    from voxloom.llm.line_dedup import EDITS, LEAST, PER, _rows, line_links
+
+    rng = random.Random(11)
+    lines = {}
+    for n in (20, 30, 40, 64, 128, 256):
+        base = "".join(rng.choice("abcdefgh é") for _ in range(n))
+        lines[base] = n
+        for k in range(1, EDITS + 1):
+            at = rng.randrange(n - k)
+            for x in ("q" * k + base, base + "q" * k, base[k:], base[:-k], base[:at] + base[at + k :], base[:at] + "w" * k + base[at + k :], base[k:] + "q" * k, base[:at] + "q" * k + base[at:]):
+                lines[x] = n
+            x = list(base)
+            for _ in range(k):
+                j = rng.randrange(len(x))
+                rng.choice([lambda: x.insert(j, "q"), lambda: x.__setitem__(j, "w"), lambda: x.pop(j)])()
+            lines["".join(x)] = n
+    family = list(lines.values())
+    lines = list(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    got = {tuple(sorted(r)) for r in line_links(df, per=PER).collect()}
+    want = set()
+    for j, y in enumerate(lines):
+        for i, x in enumerate(lines[:j]):
+            n = min(len(x), len(y))
+            if family[i] == family[j] and n >= LEAST and abs(len(x) - len(y)) <= EDITS and lev(x, y, min(EDITS, n // PER)) <= min(EDITS, n // PER):
+                want.add((i, j))
+    assert got == want and len(want) > 300
+    long = spark.range(320).select(F.col("id").alias("row"), F.col("id").alias("lid"), F.lit(0).alias("grp"), F.lit(0).alias("path"), F.expr("repeat('x', int(200 + id))").alias("line"), F.expr("int(200 + id)").alias("len"))
+    assert _rows(long, EDITS, lambda l: F.least(F.lit(EDITS), F.floor(l / PER))).count() < 15 * 320
+
+
 def test_line_report_edits(spark):
     from voxloom.llm.line_dedup import line_report
 
