@@ -1,14 +1,16 @@
 """URL filters: fixed host and path rules, and association rules mined from labels.
 
-FP-growth finds combinations of URL tokens that imply a block label; rules are pruned by
-support and confidence and filed in an inverted index under their rarest token, to which
+FP-growth finds combinations of URL tokens that imply a block label (where labelled URLs are
+long, a search by levels finds the least of them); rules are pruned by support and confidence and filed in an inverted index under their rarest token, to which
 a URL's tokens are joined. Work is done per distinct URL.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -19,7 +21,7 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
 #: Labelled pages that a rule rests on at least, whatever their number.
 MIN_PAGES = 5
-#: Tokens of a labelled URL that the mining looks at, and so the longest antecedent: those with the largest share of blocked pages.
+#: Items of a labelled URL up to which FP-growth, which makes all subsets, mines them; with a longer URL among them the search by levels does.
 LONGEST = 16
 _BLOCK = "#block"
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -44,36 +46,67 @@ def tokens(host, path):
     return F.array_distinct(words)
 
 
-def mine(urls: DataFrame, labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(key, need): token sets that imply a block, each under its rarest token.
+def _least_sets(seen: DataFrame, least: int, min_confidence: float) -> DataFrame:
+    """need: sets of items that imply a block, so that each other such set holds one of them.
+
+    ``seen``: t, block, items (sorted). Sets grow by an item at a time. A set that is a rule
+    grows no further, as what holds it is blocked anyway; nor does one whose last item shuts
+    out no page that is allowed, as without that item it has the same such pages and no fewer blocked ones.
+    """
+    grown = seen.select("t", "block", "items", F.array().cast("array<string>").alias("need"), F.lit(0).alias("j"), F.lit(None).cast("long").alias("g"))
+    found = []
+    while True:
+        rest = F.slice("items", F.col("j") + 1, F.greatest(F.lit(0), F.size("items") - F.col("j")))
+        grown = grown.select("t", "block", "items", "need", "g", F.col("j").alias("j0"), F.posexplode(rest).alias("k", "item"))
+        grown = grown.select("t", "block", "items", F.col("g").alias("g0"), F.concat("need", F.array("item")).alias("need"), (F.col("j0") + F.col("k") + 1).alias("j"))
+        grown = materialize(grown, "url-grown")
+        sets = grown.groupBy("need").agg(F.count_if("block").alias("b"), F.count_if(~F.col("block")).alias("g"), F.first("g0").alias("g0")).where(F.col("b") >= least)
+        sets = materialize(sets.withColumn("rule", F.col("b") / (F.col("b") + F.col("g")) >= min_confidence), "url-sets")
+        found.append(sets.where("rule").select("need"))
+        live = sets.where("not rule and (g0 is null or g < g0)").select("need", "g")
+        if not live.limit(1).count():
+            break
+        grown = grown.drop("g0").join(live, "need").select("t", "block", "items", "need", "j", "g")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def mine(urls: DataFrame, labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+    """((key, need): item sets that imply a block, each under its rarest item; (tok, item): the tokens that are items).
 
     ``labelled``: u, block, one row per labelled page, all of them; ``urls``: u, toks. No labels: no rules.
 
-    Tokens of fewer than ``min_pages`` labelled pages, or of none that is blocked, imply nothing and are left
-    out; of tokens that stand in the same labelled pages one stands for all, so a long URL
-    that repeats is one item, not all subsets of its words. Of what is left a URL has ``LONGEST`` items at most.
+    Tokens of fewer blocked pages than a rule needs are in none and are left out; tokens that
+    stand in the same labelled pages are one item. An item that is a rule by itself is in no
+    longer one. None of this changes which URLs hold a rule.
     """
-    schema = "key string, need array<string>"
     seen = materialize(labelled.join(urls, "u").select("block", "toks", F.monotonically_increasing_id().alias("t")), "url-labelled")
     n = seen.count()
+    support = min(1.0, max(min_support, min_pages / max(1, n)))
+    least = math.ceil(support * n)
     each = seen.select("t", "block", F.explode("toks").alias("tok"))
     stats = each.groupBy("tok").agg(F.count("*").alias("n"), F.count_if("block").alias("b"), F.bit_xor(F.xxhash64("t")).alias("x"), F.bit_xor(F.xxhash64("t", F.lit(1))).alias("y"))
-    stats = stats.where((F.col("n") >= min_pages) & (F.col("b") > 0)).groupBy("n", "b", "x", "y").agg(F.min("tok").alias("tok"))
-    stats = materialize(stats.select("tok", "n", (F.col("b") / F.col("n")).alias("share")), "url-tokens")
-    telling = Window.partitionBy("t").orderBy(F.desc("share"), F.desc("n"), "tok")
-    few = each.join(stats, "tok").withColumn("k", F.row_number().over(telling)).where(F.col("k") <= LONGEST)
+    stats = stats.where(F.col("b") >= max(1, least)).groupBy("n", "b", "x", "y").agg(F.min("tok").alias("item"), F.collect_list("tok").alias("toks"))
+    stats = materialize(stats.select("item", "toks", "n", (F.col("b") / F.col("n") >= min_confidence).alias("rule")), "url-items")
+    names = stats.select("item", F.explode("toks").alias("tok"))
+    alone = stats.where("rule").select(F.array("item").alias("need"))
+    items = each.join(stats.where("not rule").select("item"), F.col("tok") == F.col("item")).groupBy("t").agg(F.array_sort(F.collect_list("item")).alias("items"))
     # every labelled page counts in the support, those without an item left too
-    items = few.groupBy("t").agg(F.collect_list("tok").alias("items"))
-    items = seen.select("t", "block").join(items, "t", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.when(F.col("block"), F.array(F.lit(_BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    seen = materialize(items, "url-transactions")
-    if not n or not stats.limit(1).count():
-        return seen.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_pages / n)), minConfidence=min_confidence).fit(seen)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == _BLOCK)).select(F.monotonically_increasing_id().alias("r"), F.array_sort("antecedent").alias("need"))
-    rules = materialize(rules, "url-rules")
-    freq = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("key"), "freq")
-    keyed = rules.select("r", "need", F.explode("need").alias("key")).join(freq, "key").groupBy("r", "need").agg(F.min(F.struct("freq", "key")).alias("k"))
-    return materialize(keyed.select("k.key", "need").distinct(), "url-index")
+    none = F.array().cast("array<string>")
+    seen = materialize(seen.select("t", "block").join(items, "t", "left").select("t", "block", F.coalesce("items", none).alias("items")), "url-transactions")
+    most = seen.agg(F.max(F.size("items"))).first()[0] or 0
+    needs = alone
+    if most > longest:
+        needs = alone.union(_least_sets(seen, least, min_confidence))
+    elif most:
+        marked = seen.select(F.concat("items", F.when(F.col("block"), F.array(F.lit(_BLOCK))).otherwise(none)).alias("items"))
+        rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(marked).associationRules
+        needs = alone.union(rules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == _BLOCK)).select(F.array_sort("antecedent").alias("need")))
+    needs = materialize(needs.distinct(), "url-rules")
+    keyed = needs.select("need", F.explode("need").alias("item")).join(stats.select("item", "n"), "item").groupBy("need").agg(F.min(F.struct("n", "item")).alias("k"))
+    return materialize(keyed.select(F.col("k.item").alias("key"), "need"), "url-index"), names
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -89,8 +122,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float =
     urls = materialize(urls.withColumn("toks", tokens(F.col("host"), F.col("path"))), "urls")
     marks = labels.select(F.col("doc_id").cast("long").alias("page_id"), F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.col("quality") == 0, F.col("toxic") == 1).alias("block")).where("page_id is not null and block is not null")
     marks = marks.groupBy("page_id").agg(F.max("block").alias("block"))
-    index = mine(urls.select("u", "toks"), u.join(marks, "page_id").select("u", "block"), min_support, min_confidence)
-    mined = urls.select("u", "toks", F.explode("toks").alias("key")).join(index, "key").where(F.size(F.array_except("need", "toks")) == 0).select("u").distinct().withColumn("mined", F.lit(True))
+    index, names = mine(urls.select("u", "toks"), u.join(marks, "page_id").select("u", "block"), min_support, min_confidence)
+    held = urls.select("u", F.explode("toks").alias("tok")).join(names, "tok").groupBy("u").agg(F.collect_set("item").alias("toks"))
+    mined = held.select("u", "toks", F.explode("toks").alias("key")).join(index, "key").where(F.size(F.array_except("need", "toks")) == 0).select("u").distinct().withColumn("mined", F.lit(True))
     fixed = spark.createDataFrame([(h + p, h, p, v) for v, h, p in rules], "rule string, rhost string, rpath string, rverdict string")
     deep = max([h.count(".") + 1 for _, h, _ in rules], default=1)
     labels_of = F.split("host", r"\.")
