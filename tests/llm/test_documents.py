@@ -1,6 +1,7 @@
 """Operators over documents against brute force, and on awkward rows."""
 
 import zlib
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -159,6 +160,36 @@ def test_encoder_is_the_library(as_text, monkeypatch):
         assert [g.tolist() for g in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_tokens_memory(tmp_path):
+    """A worker that has written ids keeps its encoder's tables, not what the batches took."""
+    import subprocess
+    import sys
+
+    code = """
+import random, re, sys
+import pyarrow as pa
+sys.path.insert(0, sys.argv[1])
+from voxloom.llm import queries as q
+from voxloom.llm.token_store import Encoder, TokenWriter
+def taken():
+    return sum(map(int, re.findall(r"\\n(?:Private_Dirty|Swap):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+Encoder.of(q.tokenizer_path())
+rng = random.Random(3)
+def batches():
+    for i in range(24):
+        texts = [" ".join("".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(500)) for _ in range(160)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(160)), pa.array(texts)], ["doc_id", "text"])
+before = taken()
+TokenWriter({"path": sys.argv[2], "tokenizer": q.tokenizer_path(), "end": "2"}, False).write(batches())
+e = Encoder.of(q.tokenizer_path())
+held = sum(x.nbytes for x in (e.ids, e.h1, e.h2, e.begin, e.size)) / (1 << 20)
+print(taken() - before - held)
+"""
+    repo = str(Path(__file__).resolve().parents[2])
+    out = subprocess.run([sys.executable, "-c", code, repo, str(tmp_path / "t")], capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 100, out.stdout
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 15, 16, 17, 32])
 def test_pack(bits):
     from voxloom.llm.token_store import pack, unpack
@@ -289,3 +320,37 @@ def test_quality_rejects_junk(spark):
     assert threshold([(90, 0, 5), (80, 1, 5), (70, 999, 0)], 0) == 85
     assert threshold([(90, 1, 0), (80, 999, 0)], 2) == 80
     assert threshold([(90, 0, 5)], 2) > 10_000
+
+
+@pytest.mark.parametrize("local", [0, 40, 1 << 18])
+def test_components_local(spark, local):
+    """The driver's rest of the rounds gives the classes that all rounds give, with far fewer jobs."""
+    from voxloom.llm.components import connected_components
+
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000), (None, 3)] + [(9000 - i, 9000) for i in range(1, 30)]
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    sc = spark.sparkContext
+    sc.setJobGroup(f"components-{local}", "")
+    got = connected_components(edges, local=local).collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup(f"components-{local}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    root = {x: x for p in pairs if None not in p and p[0] != p[1] for x in p}
+    for a, b in (p for p in pairs if None not in p and p[0] != p[1]):
+        a, b = root[a], root[b]
+        root = {k: a if r == b else r for k, r in root.items()}
+    classes = lambda m: {frozenset(k for k in m if m[k] == r) for r in set(m.values())}
+    assert len(got) == len(root) and classes({r.node: r.root for r in got}) == classes(root)
+    assert local < 1 << 18 or jobs < 12
+
+
+def test_tokens_driver(spark, sf_dir, monkeypatch):
+    """A store is written and read without Spark's Python data sources, which keep ten processes in the driver."""
+    from voxloom.llm.token_store import token_digest
+
+    def register(*_):
+        raise AssertionError("a data source")
+
+    monkeypatch.setattr(type(spark.dataSource), "register", register)
+    rows = token_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), q.tokenizer_path(), 2).orderBy("start").collect()
+    assert len(rows) >= 200 and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))

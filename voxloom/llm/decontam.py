@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, materialize, trimmed
 from .words import shingles, words
 
 #: Bits of the bitmap of shingles, whatever the benchmark's size: 2 MB to each executor.
@@ -86,7 +86,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> tuple[Da
             sh, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(sh.view(_I64)), pa.array(n.astype(_I64))], ["sh", "c"])
 
-    freq = text.mapInArrow(count, "sh long, c long").groupBy("sh").agg(F.sum("c").alias("c"))
+    freq = text.mapInArrow(lambda batches: trimmed(count(batches)), "sh long, c long").groupBy("sh").agg(F.sum("c").alias("c"))
     rare = wins.select("win", "n", "sh", "off").distinct().join(freq, "sh", "left")
     prefix = materialize(
         rare.groupBy("win", "n").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "off", "sh")).alias("p")).where("p.c > 0").select("win", "n", "p.off", "p.sh"),
@@ -114,7 +114,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> tuple[Da
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["doc_id", "d", "z", "h", "n_words", "sh", "pos", "first", "ctx"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.isnull("doc_id").alias("z"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
-    found = materialize(src.mapInArrow(probe, "doc_id long, d long, z boolean, h long, n_words long, sh long, pos long, first long, ctx array<string>"), "decontam-found")
+    found = materialize(src.mapInArrow(lambda batches: trimmed(probe(batches)), "doc_id long, d long, z boolean, h long, n_words long, sh long, pos long, first long, ctx array<string>"), "decontam-found")
     cand = found.where("sh is not null").drop("doc_id")
     at = F.col("pos") - F.col("off")
     hits = (

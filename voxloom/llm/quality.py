@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, materialize, trimmed
 
 #: Rows the forest is grown on at most (by a hash of doc_id and text), its trees and the rows of each.
 FIT_ROWS, TREES, TREE_ROWS = 8192, 100, 256
@@ -82,7 +82,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.isnull("doc_id").alias("z"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     kinds = "doc_id long, d long, z boolean, h long, " + ", ".join([f"{c} long" for c in BASE] + [f"{c} double" for c in FEATURES])
-    out = src.mapInArrow(run, kinds)
+    out = src.mapInArrow(lambda batches: trimmed(run(batches)), kinds)
     return out.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
 
 
@@ -230,4 +230,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lost
             yield b.filter(pa.array(ok))
 
     bound_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: trimmed(run(batches)), docs.schema)

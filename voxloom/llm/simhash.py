@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, materialize, trimmed
 from .components import connected_components
 
 #: Fingerprints of one anchor that a task compares at once; beyond, the anchor is cut into a grid.
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "h", "fp"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, h long, fp long")
+    return src.mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, h long, fp long")
 
 
 def _anchor_masks() -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import bound_batches, scratch_path
+from .common import bound_batches, scratch_path, trim_memory
 from .files import Commit, filesystem
 from .words import mix, powers
 
 BLOCK, MAGIC, SUFFIX, FORMAT = 1 << 16, b"VXTOK1", ".tok", "voxloom_tokens"
+#: Documents whose digests are handed on together.
+READ_ROWS = 10_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -354,6 +356,7 @@ class TokenWriter(DataSourceArrowWriter):
                     n_held += len(ids)
                     if n_held >= BLOCK * 4:
                         flush(False)
+                trim_memory()
             flush(True)
             index = [np.array(docs, "<i8"), np.array(has, np.uint8), np.array(sizes, "<i8"), np.array(offsets, "<i8")]
             for x in index:
@@ -472,13 +475,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None = N
     texts' hashes. Null texts count as empty and hold the end id alone. An empty table
     gives an empty manifest. Other columns are left out.
     """
-    spark = docs.sparkSession
-    spark.dataSource.register(TokenSource)
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
+    options = {"path": path, "tokenizer": tokenizer} | ({"end": str(end)} if end is not None else {})
+    writer = TokenWriter(options, False)
+
+    def run(batches):
+        part = writer.write(batches)
+        yield pa.RecordBatch.from_pylist([vars(part)])
+
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
-    w = src.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text").write.format(FORMAT)
-    w = w.option("tokenizer", tokenizer)
-    (w.option("end", str(end)) if end is not None else w).mode("append").save(path)
+    src = src.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    # not through the data source: Spark would keep two Python processes in the driver for each step of its own
+    try:
+        parts = src.mapInArrow(run, "partition long, file string, n_ids long, n_docs long").collect()  # a row for each file
+    except Exception:
+        writer.abort([])
+        raise
+    writer.commit([Part(**r.asDict()) for r in parts])
 
 
 def read_tokens(spark, path: str, ids: bool = True) -> DataFrame:
@@ -489,6 +502,17 @@ def read_tokens(spark, path: str, ids: bool = True) -> DataFrame:
 
 def token_digest(docs: DataFrame, tokenizer: str, end: int | None) -> DataFrame:
     """Write ``docs`` to a store in the shared folder and return its documents' digests."""
-    path = scratch_path(docs.sparkSession, "tokens")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "tokens")
     write_tokens(docs, path, tokenizer, end)
-    return read_tokens(docs.sparkSession, path, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+    reader = TokenReader({"path": path, "ids": "false"})
+
+    def run(batches):
+        for b in batches:
+            for x in b.to_pylist():
+                rows = reader.read(TokenPartition(x["file"], x["base"]))
+                while some := list(islice(rows, READ_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*some))[:4]], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    files = spark.createDataFrame([(x.file, x.base) for x in reader.partitions()], "file string, base long")
+    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
