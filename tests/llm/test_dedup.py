@@ -87,6 +87,17 @@ def test_passage_bucket_grid(spark):
     assert len(roots) == 60 and len({r.root for r in roots}) == 1
 
 
+def test_substring_scratch(spark, sf_dir):
+    """The rows of picks and paragraphs, the largest table, are gone before the windows' sides are shuffled."""
+    from voxloom.llm import common
+    from voxloom.llm.substring_dedup import repeated_passages
+
+    before = len(common.made())
+    repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    left = [p for p in common.made()[before:] if (x := common._hadoop(spark, p))[1].exists(x[0])]
+    assert not [p for p in left if "substring-units" in p or "substring-own" in p]
+
+
 @pytest.mark.parametrize("edits,hot", [(1, 64), (1, 2), (2, 64)])
 def test_lines_brute(spark, edits, hot):
     from voxloom.llm.line_dedup import line_links

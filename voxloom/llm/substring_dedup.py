@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, materialize
+from .common import bound_batches, discard, free_shuffles, materialize
 from .components import connected_components
 from .words import mix, powers, shingles, words
 
@@ -411,20 +411,23 @@ def paragraph_links(docs: DataFrame, paragraphs: DataFrame, similarity: float =
     return cells.repartition("band", "cell").sortWithinPartitions("band", "cell").mapInArrow(links, ", ".join(f"{c} long" for c in names))
 
 
-def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(units, repeats, documents).
+def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(repeats, documents).
 
-    units: see :func:`units`. repeats: d, h, kind, pos, n, pid and first_d (of the copy that
+    repeats: d, h, kind, pos, n, pid and first_d (of the copy that
     stays), for the windows that occur in two documents or more, and the paragraphs of clusters that do. documents:
     d, h, n_words per row.
     """
     all_ = units(docs)
+    rows = materialize(all_.where(F.col("kind") == ROW).select("d", "h", F.col("n").alias("n_words")), "substring-rows")
     links = materialize(paragraph_links(docs, all_.where(F.col("kind") == PARAGRAPHS), similarity), "substring-links")
+    free_shuffles(docs.sparkSession)
     roots = materialize(connected_components(links).select(F.col("node").alias("pid"), "root"), "substring-roots")
     sig = F.xxhash64("d", "h")
     # in plain longs, so that the aggregation stays in generated code
     many = lambda df, c: df.groupBy(c).agg(F.min("d").alias("first_d"), F.min(sig).alias("s1"), F.max(sig).alias("s2")).where("s1 <> s2").select(c, "first_d")
     same = materialize(many(all_.where("pid is not null"), "pid"), "substring-same")
+    free_shuffles(docs.sparkSession)
     wanted = Marks(same.select("pid").union(roots.select("pid")))
 
     def few(batches):
@@ -441,8 +444,11 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[
     linked = linked.withColumns({"n": F.least(F.col("n"), F.col("to") + SHINGLE) - F.col("from"), "pos": F.col("pos") + F.col("from")})
     repeats = own.where("first_d is not null").unionByName(linked.join(many(linked, "root"), "root"), allowMissingColumns=True)
     repeats = materialize(repeats.select("d", "h", "kind", "pos", "n", "pid", "first_d"), "substring-repeats")
+    # the rows of picks and paragraphs are the largest table, and the windows' sides are shuffled next
     discard(own)
-    return all_, repeats, all_.where(F.col("kind") == ROW).select("d", "h", F.col("n").alias("n_words"))
+    discard(all_)
+    free_shuffles(docs.sparkSession)
+    return repeats, rows
 
 
 def _covered(rows: DataFrame, name: str) -> DataFrame:
@@ -464,7 +470,7 @@ def substring_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     paragraphs. Rows without doc_id come last, and one of them keeps a passage only if no
     other row holds it. Rows that agree in doc_id and text count as one document here.
     """
-    _, rep, rows = repeated_passages(docs, similarity)
+    rep, rows = repeated_passages(docs, similarity)
     rep = extended(docs, rep)
     some = _covered(rep.select("d", "h", "start", "end").distinct(), "n_repeated")
     gone = _covered(rep.where("gone").select("d", "h", "start", "end").distinct(), "n_removed")
@@ -485,7 +491,7 @@ def dedup_passages(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     Null texts and texts without words stay as they are; rows that agree in doc_id and text are one document, so
     neither is cut because of the other; rows without doc_id come last. A text may end up empty, its row stays.
     """
-    _, rep, _ = repeated_passages(docs, similarity)
+    rep, _ = repeated_passages(docs, similarity)
     cuts = extended(docs, rep).where("gone").groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("_vl_cut")).withColumnsRenamed({"d": "_vl_d", "h": "_vl_h"})
     d = docs.withColumns({"_vl_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_vl_h": F.xxhash64("text")})
     cols = docs.columns
