@@ -212,6 +212,20 @@ def test_lines_blocks(spark):
     assert _rows(long, _probes(spark, EDITS, PER)).count() < 15 * 320
 
 
+def test_lines_placed(spark):
+    """A hit's code alone gives its segment's place, so hot segments need no join with the table of segments."""
+    from pyspark.sql import functions as F
+
+    from voxloom.llm.line_dedup import EDITS, PER, _placed, _probes, _rows
+
+    x = spark.range(20, 500, 7).select("id", F.col("id").alias("row"), F.col("id").alias("lid"), F.lit(0).alias("edits"), F.lit(0).alias("grp"), F.lit(0).alias("path"), F.expr("int(id)").alias("len"))
+    x = x.withColumn("line", F.expr("array_join(transform(sequence(1, len), k -> char(int(33 + pmod(xxhash64(k, id), 90)))), '')")).drop("id")
+    placed = _placed(_rows(x, _probes(spark, EDITS, PER)).join(x.select("row", "len", "line"), "row"))
+    again = F.xxhash64(F.expr("substring(line, at + 1, size)"), F.expr("int(len - back)"), F.expr("int(i)"), F.col("t"), F.lit(0))
+    n = placed.count()
+    assert n > 500 and placed.where(again.eqNullSafe(F.col("key"))).count() == n
+
+
 def test_line_report_edits(spark):
     from voxloom.llm.line_dedup import line_report
 
