@@ -20,6 +20,19 @@ def lev(a, b, k):
     return row[-1]
 
 
+def near(a, b, k):
+    """Whether ``a`` and ``b`` are within ``k`` edits, by a band that ends when all of it is beyond."""
+    row = {j: j for j in range(k + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - k), min(len(b), i + k) + 1):
+            new[j] = i if not j else min(row.get(j, k) + 1, new.get(j - 1, k) + 1, row.get(j - 1, k + 1) + (x != b[j - 1]))
+        row = new
+        if not row or min(row.values()) > k:
+            return False
+    return row.get(len(b), k + 1) <= k
+
+
 def prose(rng, n):
     return [f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(n)]
 
@@ -212,6 +225,33 @@ def test_lines_blocks(spark):
     assert _rows(long, _probes(spark, EDITS, PER)).count() < 15 * 320
 
 
+def test_lines_near_copies(spark):
+    """Lines with a word or two replaced in a long common text: all links, without splitting each line again and again."""
+    from voxloom.llm import common
+    from voxloom.llm.line_dedup import PER, line_links
+
+    rng = random.Random(3)
+    base = prose(rng, 60)
+    lines = {" ".join(base)}
+    for _ in range(45):
+        x = list(base)
+        for k in rng.sample(range(60), rng.randrange(1, 3)):
+            x[k] = "".join(rng.choice("bcdfgklmp") for _ in range(rng.randrange(9, 14)))
+        for k in (0, 1, 2):
+            # the copy's own near copies: one more letter, one changed, both
+            y = " ".join(x)
+            at = rng.randrange(len(y) - 1)
+            lines.add(y if not k else y[:at] + "q" + y[at + k - 1 :])
+    lines = sorted(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    before = len(common.made())
+    got = {tuple(sorted(r)) for r in line_links(df, hot=40, per=PER).collect()}
+    assert got == {(i, j) for j in range(len(lines)) for i in range(j) if near(lines[i], lines[j], 4)}
+    assert len(got) > 100
+    again = sum(spark.read.parquet(p).count() for p in common.made()[before:] if "line-rest" in p)
+    assert again < 5 * len(lines)
+
+
 def test_lines_placed(spark):
     """A hit's code alone gives its segment's place, so hot segments need no join with the table of segments."""
     from pyspark.sql import functions as F
