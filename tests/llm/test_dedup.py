@@ -249,7 +249,7 @@ def test_lines_near_copies(spark):
     assert got == {(i, j) for j in range(len(lines)) for i in range(j) if near(lines[i], lines[j], 4)}
     assert len(got) > 100
     again = sum(spark.read.parquet(p).count() for p in common.made()[before:] if "line-rest" in p)
-    assert again < 5 * len(lines)
+    assert again < 2 * len(lines)
 
 
 def test_lines_placed(spark):
