@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..scratch import materialize
 from . import kernels as k
 from .smooth import moving_average
+from .stencils import by_tiles
 
 #: A model takes a slice and a diameter and gives its probabilities (y, x) and its flow (2, y, x).
 Model = Callable[[np.ndarray, float], tuple[np.ndarray, np.ndarray]]
@@ -26,16 +27,14 @@ def _image(pdf: pd.DataFrame, value: str = "v") -> np.ndarray:
 def slice_contrast(df: DataFrame, edge: bool = False) -> DataFrame:
     """(z, score): the mean of each slice, or of its Sobel edges."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = _image(pdf)
-        if edge:
-            p = np.pad(a, 1, mode="symmetric")
-            across = lambda d: (d[:-2] + 2 * d[1:-1] + d[2:]) / 4
-            dy, dx = across((p[2:] - p[:-2]).T).T / 2, across(p[:, 2:] - p[:, :-2]) / 2
-            a = np.sqrt((dy**2 + dx**2) / 2)
-        return pd.DataFrame({"z": [int(pdf["z"].iloc[0])], "score": [float(a.mean())]})
-
-    return df.select("z", "y", "x", "v").groupBy("z").applyInPandas(run, "z int, score double")
+    def run(a: np.ndarray) -> np.ndarray:
+        p = np.pad(a, 1, mode="symmetric")
+        across = lambda d: (d[:-2] + 2 * d[1:-1] + d[2:]) / 4
+        dy, dx = across((p[2:] - p[:-2]).T).T / 2, across(p[:, 2:] - p[:, :-2]) / 2
+        return np.sqrt((dy**2 + dx**2) / 2)
+
+    rows = by_tiles(df, run, 1, ("z",), ("y", "x"), 512) if edge else df
+    return rows.groupBy(F.col("z").cast("int").alias("z")).agg(F.avg("v").alias("score"))
 
 
 def run_model(df: DataFrame, model: Model, diameter: float, invert: bool = False) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 import numpy as np
 
 from . import kernels as k
+from .labels import ranked
+from .stencils import by_tiles
 
 PIX = ("slice", "r", "c")
 
@@ -28,7 +30,7 @@ def relabel_slices(rows: DataFrame) -> DataFrame:
 
 def unique_slices(rows: DataFrame) -> DataFrame:
     """Labels 1..n that are unique over the slices, in the order of slice and label."""
-    new = rows.select("slice", "label").distinct().withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("slice", "label")))
+    new = ranked(rows.select("slice", "label").distinct(), ["slice", "label"], "_n")
     return rows.join(new, ["slice", "label"]).select(*PIX, F.col("_n").alias("label"))
 
 
@@ -169,7 +171,8 @@ def map_slices(df: DataFrame, fn, by: tuple = ("z",)) -> DataFrame:
 
 
 def anisotropic_diffusion(df: DataFrame, niter: int = 1, kappa: float = 50, gamma: float = 0.1, option: int = 1) -> DataFrame:
-    return map_slices(df, lambda a: k.perona_malik(a, niter, kappa, gamma, option=option))
+    """niter - 1 steps of diffusion in each slice; a step reaches one cell, so slices are cut into tiles with a halo."""
+    return by_tiles(df, lambda a: k.perona_malik(a, niter, kappa, gamma, option=option), max(0, niter - 1), ("z",), ("y", "x"), 512)
 
 
 def ridge_filter(df: DataFrame, sigmas=(3,), low_contrast: float = 0.05, black: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .intensity import background_correct, percentile_normalize
 from .kernels import gaussian_weights
-from .stencils import AXES, difference_of_means
+from .stencils import AXES, by_tiles, difference_of_means
 
 
 def grid(spark: SparkSession, shape: tuple[int, int, int]) -> DataFrame:
@@ -90,14 +90,15 @@ def sobel(df: DataFrame, shape: tuple[int, int], by: tuple = ("z",)) -> DataFram
 
 
 def median_filter(df: DataFrame, size: int, shape: tuple, by: tuple = ()) -> DataFrame:
-    """Median of the cube ``size`` wide around each voxel, edges repeated."""
+    """Median of the cube ``size`` wide around each voxel, edges repeated; tile by tile, in a plane at a time."""
     lo, hi = size // 2, (size - 1) // 2
-    for a, n in zip(AXES, shape):
-        df = df.withColumn(a, F.explode(mirrored(a, n, lo, hi)))
-    steps = F.array(*[F.struct(*[F.lit(d).alias(k) for k, d in zip("ijk", o)]) for o in product(range(-hi, lo + 1), repeat=3)])
-    near = df.select(*by, *AXES, "v", F.explode(steps).alias("o")).select(*by, *[(F.col(a) + F.col(f"o.{k}")).cast("int").alias(a) for a, k in zip(AXES, "ijk")], "v")
-    inside = " and ".join(f"{a} >= 0 and {a} < {n}" for a, n in zip(AXES, shape))
-    return near.where(inside).groupBy(*by, *AXES).agg(F.median("v").alias("v"))
+
+    def run(a: np.ndarray) -> np.ndarray:
+        near = np.lib.stride_tricks.sliding_window_view(np.pad(a, (lo, hi), mode="symmetric"), (size,) * 3)
+        median = np.nanmedian if np.isnan(a).any() else np.median
+        return np.stack([median(p.reshape(*p.shape[:2], -1), axis=2) for p in near])
+
+    return by_tiles(df, run, lo, by)
 
 
 def _positions(n: int, m: int, corners: bool, nearest: bool) -> list[tuple[int, int, float]]:

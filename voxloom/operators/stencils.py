@@ -1,17 +1,51 @@
 """Local filters on dense volumes (z, y, x, value columns).
 
 Box means run along one axis at a time as window functions over rows mirrored at the
-border (the edge value repeated), so memory is bounded by a line of the volume.
+border (the edge value repeated), so memory is bounded by a line of the volume. Filters that are
+no sums take tiles with a halo as arrays.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = ("z", "y", "x")
 
 
+def with_tiles(df: DataFrame, axes: tuple, tile: int, halo: int) -> DataFrame:
+    """A row of ``df`` for each tile that holds its cell or has it in its halo; columns _t and the axis number tiles from 0."""
+    for a in axes:
+        first, last = (F.floor((F.col(a) + d) / tile).cast("int") for d in (-halo, halo))
+        df = df.withColumn(f"_t{a}", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    return df
+
+
+def by_tiles(df: DataFrame, fn, halo: int, by: tuple = (), axes: tuple = AXES, tile: int = 64) -> DataFrame:
+    """(by, axes, v): ``fn`` of dense arrays of v, which keeps their shape, tile by tile.
+
+    A cell's result depends on cells at most ``halo`` away; an array ends at the latest where the volume ends.
+    """
+    rows = with_tiles(df.select(*by, *axes, F.col("v").cast("double").alias("v")), axes, tile, halo)
+    keys = [*by, *[f"_t{a}" for a in axes]]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[list(axes)].to_numpy()
+        first = pdf[[f"_t{a}" for a in axes]].iloc[0].to_numpy(np.int64) * tile
+        own = ((at >= first) & (at < first + tile)).all(axis=1)
+        if not own.any():
+            return pdf[[*by, *axes, "v"]][own]
+        low = at.min(axis=0)
+        v = np.zeros(at.max(axis=0) - low + 1)
+        v[tuple((at - low).T)] = pdf["v"]
+        return pdf[[*by, *axes]][own].assign(v=fn(v)[tuple((at[own] - low).T)])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*by, *axes))
+    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, v double")
+
+
 def box_mean(df: DataFrame, cols: list[str], size: int, shape: tuple[int, int, int], by: tuple = ()) -> DataFrame:
     """Means of ``cols`` over boxes ``size`` wide (an even one leans to lower coordinates); size 1 or less changes nothing."""
     if size <= 1:
