@@ -46,3 +46,15 @@ def test_slices_are_cut(spark):
     across = (dy[:, :, :-2] + 2 * dy[:, :, 1:-1] + dy[:, :, 2:]) / 4, (dx[:, :-2] + 2 * dx[:, 1:-1] + dx[:, 2:]) / 4
     for r in pn.slice_contrast(rows, True).collect():
         assert r.score == pytest.approx(np.sqrt((across[0][r.z] ** 2 + across[1][r.z] ** 2) / 2).mean())
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 5])
+def test_dilation_moves_runs(spark, radius):
+    m = np.random.default_rng(radius).random(SHAPE) < 0.03
+    m[0, 0, 0] = m[9, 11, 13] = m[4, 4, 2:9] = True
+    t = table(spark, m.astype(int)).select("z", "y", "x")
+    df = lb.dilate_ball(t.union(t), radius, SHAPE)
+    assert not re.search(r"hashpartitioning\(z#\d+, y#\d+, x#", plan(df))  # no row of a voxel for each place of the ball
+    want = {(z + i, y + j, x + l) for z, y, x in np.argwhere(m) for i, j, l in lb.ball(radius)}
+    got = [tuple(r) for r in df.select("z", "y", "x").collect()]
+    assert len(got) == len(set(got)) and set(got) == {c for c in want if all(0 <= p < n for p, n in zip(c, SHAPE))}

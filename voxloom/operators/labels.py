@@ -243,9 +243,23 @@ def _shifts(offsets: list[tuple]):
 
 
 def dilate_ball(voxels: DataFrame, radius: int, shape: tuple[int, int, int]) -> DataFrame:
-    """Voxels within ``radius`` of the given ones, inside the volume."""
-    s = voxels.select(*AXES, _shifts(ball(radius))).select(*[(F.col(a) + F.col(f"_o.{k}")).cast("int").alias(a) for a, k in zip(AXES, "ijk")])
-    return s.where(" and ".join(f"{a} >= 0 and {a} < {n}" for a, n in zip(AXES, shape))).distinct()
+    """Voxels within ``radius`` of the given ones, inside the volume.
+
+    Runs along x are moved instead of voxels: a ball is one piece of a line for each (z, y), and pieces that
+    meet are joined before they are spread to voxels again.
+    """
+    line = Window.partitionBy("z", "y").orderBy("x")
+    v = voxels.select(*[F.col(a).cast("int").alias(a) for a in AXES]).where("z is not null and y is not null and x is not null")
+    v = v.withColumn("_g", F.col("x") - F.dense_rank().over(line))
+    runs = v.groupBy("z", "y", "_g").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    wide = {(i, j): max(o[2] for o in ball(radius) if o[:2] == (i, j)) for i, j, _ in ball(radius)}
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for (i, j), k in wide.items()])).alias("o")
+    p = runs.select("z", "y", "a", "b", steps).selectExpr("z + o.i as z", "y + o.j as y", "greatest(a - o.k, 0) as a", f"least(b + o.k, {shape[2] - 1}) as b")
+    p = p.where(f"z >= 0 and z < {shape[0]} and y >= 0 and y < {shape[1]} and a <= b").groupBy("z", "y", "a").agg(F.max("b").alias("b"))
+    # what the pieces before have covered is left out
+    done = F.max("b").over(Window.partitionBy("z", "y").orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
+    p = p.withColumn("a", F.greatest(F.col("a"), F.coalesce(done + 1, F.lit(0)))).where("a <= b")
+    return p.select("z", "y", F.explode(F.sequence("a", "b")).alias("x"))
 
 
 def erode_ball(voxels: DataFrame, radius: int, shape: tuple[int, int, int]) -> DataFrame:
