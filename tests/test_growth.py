@@ -24,6 +24,26 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", LAZY)
+def test_no_voxels_sent_round(spark, sf_dir, name):
+    assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, sf_dir))
+
+
+def test_balls_are_dealt(spark, tmp_path):
+    spark.range(2500).selectExpr("id as s_suppkey", "cast(id % 25 as int) as s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert re.search(r"hashpartitioning\(id#\d+, 3\), REPARTITION_BY_NUM", plan(fx.ref(spark, str(tmp_path))))
+    d = fx.volume(spark, str(tmp_path)).selectExpr("count(*) n", "count(distinct z, y, x) d", "max(x) x", "count_if(v >= 40) own").first()
+    assert (d.n, d.d, d.x) == (32 * 64 * 1600, 32 * 64 * 1600, 1599) and d.own == fx.ref(spark, str(tmp_path)).count()
+
+
+def test_unique_slices(spark):
+    lab = balls()
+    df = sl.unique_slices(rows2(spark, lab))
+    assert "windowspecdefinition(0," not in plan(df)
+    want = {p: i + 1 for i, p in enumerate(sorted({(s, lab[s, r, c]) for s, r, c in np.argwhere(lab > 0)}))}
+    assert {tuple(r[:3]): r[3] for r in df.collect()} == {(s, r, c): want[s, lab[s, r, c]] for s, r, c in np.argwhere(lab > 0)}
+
+
 def test_tiles(spark):
     a = np.random.default_rng(5).random(SHAPE)
     got = st.by_tiles(table(spark, a, "v", True), lambda v: k.perona_malik(v, 3, step=(1.0, 1.0, 1.0)), 2, tile=4)
