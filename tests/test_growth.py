@@ -78,3 +78,71 @@ def test_dilation_moves_runs(spark, radius):
     want = {(z + i, y + j, x + l) for z, y, x in np.argwhere(m) for i, j, l in lb.ball(radius)}
     got = [tuple(r) for r in df.select("z", "y", "x").collect()]
     assert len(got) == len(set(got)) and set(got) == {c for c in want if all(0 <= p < n for p, n in zip(c, SHAPE))}
+
+
+def test_distance_is_bounded():
+    """A line of 20,000 cells would need a table of 3.2 GB of all pairs."""
+    import resource
+
+    lab = np.zeros((3, 20000), np.int64)
+    lab[:, 5:17] = 1
+    lab[1:, 17:60] = 2
+    lab[2] = 3
+    soft, hard = resource.getrlimit(resource.RLIMIT_AS)
+    with open("/proc/self/statm") as f:
+        now = int(f.read().split()[0]) * resource.getpagesize()
+    resource.setrlimit(resource.RLIMIT_AS, (now + (1 << 30), hard))
+    try:
+        d = k.label_distance(lab)
+    finally:
+        resource.setrlimit(resource.RLIMIT_AS, (soft, hard))
+    assert np.array_equal(d[:, :300], k.label_distance(lab[:, :300]))
+    assert d[0, 5:11].tolist() == [1, 2, 2, 2, 2, 2] and d[1, 30] == 1 and (d[2] == 1).all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_distance_brute(seed):
+    rng = np.random.default_rng(seed)
+    lab = np.kron(rng.integers(seed % 2, 3, (3, 2, 4)), np.ones((2, 3, 2), int))[:, :, : 3 + seed]
+    lab[seed] = 1
+    want = np.zeros(lab.shape)
+    for p in np.argwhere(lab > 0):
+        other = np.argwhere(lab != lab[tuple(p)])
+        want[tuple(p)] = np.sqrt(((other - p) ** 2).sum(axis=1).min())
+    assert np.array_equal(k.label_distance(lab), want)
+
+
+@pytest.mark.parametrize("factor", [None, 0.5, -0.1, -3.0])
+def test_planes_are_cut(spark, monkeypatch, factor):
+    from voxloom.operators import flows as fl
+
+    shape = (2, 40, 70)
+    z, y, x = np.indices(shape)
+    lab = np.zeros(shape, np.int64)
+    for i, (cy, cx) in enumerate([(5, 5), (8, 30), (20, 12), (30, 40), (20, 60), (34, 66)]):
+        lab[(y - cy) ** 2 + (x - cx) ** 2 <= 16 + 5 * i] = i + 1
+    lab[1] = lab[1, ::-1]
+    rows = rows2(spark, lab)
+
+    def result():
+        flow = fl.slice_flows(rows.selectExpr("'xy' as view", "*"), shape, "edt")
+        ends = pn.advect_planes(rows.select("slice", "r", "c"), flow, shape[1:], n_iter=12)
+        return sorted(map(tuple, flow.collect())), sorted(map(tuple, ends.collect())), sorted(map(tuple, pn.cluster_planes(ends, shape[1:], factor=factor).collect()))
+
+    whole = result()
+    for m in (fl, pn):
+        monkeypatch.setattr(m, "PIECE", 16)
+    cut = result()
+    assert "_tc" in plan(fl.slice_flows(rows.selectExpr("'xy' as view", "*"), shape, "edt"))
+    assert cut == whole
+    # and as one array
+    for s in (0, 1):
+        votes = np.zeros(shape[1:])
+        at = {(r, c): (int(er), int(ec)) for z, r, c, er, ec in whole[1] if z == s}
+        for p in at.values():
+            votes[p] = 1
+        votes = k.gaussian(votes, 1.0)
+        c = k.component_labels(votes > votes.mean() + (factor or 0.0) * votes.std(), 1)
+        keep = [i for i in range(1, c.max() + 1) if (c == i).sum() > 1]
+        want = {(r, q): keep.index(c[p]) + 1 for (r, q), p in at.items() if c[p] in keep}
+        assert {(r, q): l for z, r, q, l in whole[2] if z == s} == want

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from . import kernels as k
 from .labels import components
 from .smooth import densify, gaussian, grid
-from .stencils import AXES, combine_by_variance
+from .stencils import AXES, combine_by_variance, with_tiles
 
 #: slice, row and column of each view as axes of the volume
 VIEWS = {"xy": ("z", "y", "x"), "xz": ("y", "z", "x"), "yz": ("x", "z", "y")}
 #: Cells of a volume that one task advects without tiles.
 MAX_CELLS = 1 << 24
+#: Edge of the pieces into which larger planes are cut.
+PIECE = 512
 
 
 def slices(labels: DataFrame, views: tuple = tuple(VIEWS), value: str = "label") -> DataFrame:
@@ -47,17 +49,30 @@ def slice_flows(rows: DataFrame, shape: tuple, method: str = "poisson", guided:
     Methods: edt, poisson, poisson_skeleton, heat, fmm, fmm_skeleton; ``how`` goes to the
     kernel (quantile, iter_factor, skel_sigma, power). The centre of an object is guided by
     the distance to its border if ``guided``. Slices of an empty table give no rows.
+
+    Slices longer than PIECE are cut into tiles whose halo holds the largest label whole, so
+    that its flow and distance are those of the whole slice.
     """
+    tile, halo = PIECE, 0
+    if max(shape) > tile:
+        side = lambda a: F.max(a) - F.min(a) + 1
+        widest = rows.groupBy("view", "slice", "label").agg(F.greatest(side("r"), side("c")).alias("n")).agg(F.max("n")).first()[0]
+        halo = int(widest or 0) + 2
+        tile = max(tile, 4 * halo)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         view, s = pdf["view"].iloc[0], pdf["slice"].iloc[0]
-        img = np.zeros(plane(shape, view), np.int64)
-        img[pdf["r"], pdf["c"]] = pdf["label"]
+        first = pdf[["_tr", "_tc"]].iloc[0].to_numpy(np.int64) * tile
+        low, high = np.maximum(first - halo, 0), np.minimum(first + tile + halo, plane(shape, view))
+        img = np.zeros(high - low, np.int64)
+        img[pdf["r"] - low[0], pdf["c"] - low[1]] = pdf["label"]
         d, f = k.slice_flow(img, method, k.label_distance(img) if guided and method != "edt" else None, **how) if method != "edt" else k.slice_flow(img, "edt")
         r, c = np.nonzero((d != 0) | (f != 0).any(axis=0))
-        return pd.DataFrame({"view": view, "slice": s, "r": r.astype("int32"), "c": c.astype("int32"), "dist": d[r, c], "d_row": f[0, r, c], "d_col": f[1, r, c]})
+        own = ((np.stack([r, c], 1) + low >= first) & (np.stack([r, c], 1) + low < first + tile)).all(axis=1)
+        r, c = r[own], c[own]
+        return pd.DataFrame({"view": view, "slice": s, "r": (r + low[0]).astype("int32"), "c": (c + low[1]).astype("int32"), "dist": d[r, c], "d_row": f[0, r, c], "d_col": f[1, r, c]})
 
-    return rows.groupBy("view", "slice").applyInPandas(run, "view string, slice int, r int, c int, dist double, d_row double, d_col double")
+    return with_tiles(rows, ("r", "c"), tile, halo, (max(shape),) * 2).groupBy("view", "slice", "_tr", "_tc").applyInPandas(run, "view string, slice int, r int, c int, dist double, d_row double, d_col double")
 
 
 def slice_transform(rows: DataFrame, shape: tuple, fn, clip: bool = False) -> DataFrame:

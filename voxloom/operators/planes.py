@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize
 from . import kernels as k
+from .flows import PIECE
+from .labels import components, ranked
 from .smooth import moving_average
-from .stencils import by_tiles
+from .stencils import by_tiles, with_tiles
 
 #: A model takes a slice and a diameter and gives its probabilities (y, x) and its flow (2, y, x).
 Model = Callable[[np.ndarray, float], tuple[np.ndarray, np.ndarray]]
@@ -104,42 +106,59 @@ def peak_diameters(scores: DataFrame, height: float = 0.1, prominence: float = 0
 def advect_planes(mask: DataFrame, flow: DataFrame, shape: tuple[int, int], n_iter: int = 10, delta: float = 0.5, momentum: float = 0.0, decay: float = 0.0, interp: bool = True, tracks: bool = False) -> DataFrame:
     """(slice, r, c, er, ec): where the pixels of a mask (slice, r, c) end along unit vectors of ``flow`` (slice, r, c, d_row, d_col).
 
-    With ``tracks`` a row for each step (column step, 0 the start). Pixels without flow stay.
+    With ``tracks`` a row for each step (column step, 0 the start). Pixels without flow stay. A step is
+    ``delta`` long at most, so large planes are cut into tiles with a halo as wide as all steps.
     """
+    halo = int(np.ceil(n_iter * delta)) + 2
     rows = flow.select("slice", "r", "c", "d_row", "d_col").join(mask.select("slice", "r", "c", F.lit(True).alias("on")).distinct(), ["slice", "r", "c"], "full")
+    tile = max(PIECE, 2 * halo)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        field = np.zeros((2, *shape))
-        field[:, pdf["r"], pdf["c"]] = pdf[["d_row", "d_col"]].fillna(0.0).to_numpy().T
-        on = pdf[pdf["on"].notna()]
-        start = on[["r", "c"]].to_numpy()
+        first = pdf[["_tr", "_tc"]].iloc[0].to_numpy(np.int64) * tile
+        low, high = np.maximum(first - halo, 0), np.minimum(first + tile + halo, shape)
+        field = np.zeros((2, *(high - low)))
+        field[:, pdf["r"] - low[0], pdf["c"] - low[1]] = pdf[["d_row", "d_col"]].fillna(0.0).to_numpy().T
+        at = pdf[["r", "c"]].to_numpy()
+        start = at[pdf["on"].notna() & ((at >= first) & (at < first + tile)).all(axis=1)]
         steps = [(0, start.astype(float))]
-        end = k.advect(field, start, n_iter, delta, momentum, decay, interp, True, not interp, (lambda i, p: steps.append((i, p.copy()))) if tracks else None) if len(start) else start.astype(float)
+        end = k.advect(field, start, n_iter, delta, momentum, decay, interp, True, not interp, (lambda i, p: steps.append((i, p.copy()))) if tracks else None, low, shape) if len(start) else start.astype(float)
         base = {"slice": int(pdf["slice"].iloc[0]), "r": start[:, 0].astype("int32"), "c": start[:, 1].astype("int32")}
         one = lambda p: pd.DataFrame({**base, "er": p[:, 0], "ec": p[:, 1]})
         return pd.concat([one(p).assign(step=i) for i, p in steps]) if tracks else one(end)
 
-    return rows.groupBy("slice").applyInPandas(run, "slice int, r int, c int, er double, ec double" + (", step int" if tracks else ""))
+    return with_tiles(rows, ("r", "c"), tile, halo, shape).groupBy("slice", "_tr", "_tc").applyInPandas(run, "slice int, r int, c int, er double, ec double" + (", step int" if tracks else ""))
 
 
 def cluster_planes(ends: DataFrame, shape: tuple[int, int], sigma: float = 1.0, factor: float | None = None, min_area: int = 1) -> DataFrame:
     """(slice, r, c, label) of pixels whose end lies in a dense place of more than ``min_area`` pixels, numbered in each slice.
 
-    Cells that hold an end count once; they are smoothed, and those above mean + factor * deviation of
+    Cells that hold an end count once; they are smoothed in tiles, and those above mean + factor * deviation of
     the slice are joined side by side.
     """
+    cells, halo, tile = float(shape[0] * shape[1]), int(4 * sigma + 0.5), PIECE
+    at = materialize(ends.select("slice", "r", "c", *[F.floor(f"e{a}").cast("int").alias(b) for a, b in zip("rc", "yx")]), "ends").hint("merge")  # read twice
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.floor(pdf[["er", "ec"]].to_numpy()).astype(int)
-        votes = np.zeros(shape)
-        votes[tuple(at.T)] = 1
+        first = pdf[["_ty", "_tx"]].iloc[0].to_numpy(np.int64) * tile
+        low, high = np.maximum(first - halo, 0), np.minimum(first + tile + halo, shape)
+        votes = np.zeros(high - low)
+        votes[pdf["y"] - low[0], pdf["x"] - low[1]] = 1
         votes = k.gaussian(votes, sigma)
-        c = k.component_labels(votes > votes.mean() + (factor or 0.0) * votes.std(), 1)
-        n = np.bincount(c.ravel(), minlength=1)
-        keep = np.flatnonzero(n[1:] > min_area) + 1
-        new = np.zeros(len(n), np.int64)
-        new[keep] = np.arange(1, len(keep) + 1)
-        label = new[c[tuple(at.T)]]
-        return pdf[["slice", "r", "c"]].assign(label=label)[label > 0]
-
-    return ends.select("slice", "r", "c", "er", "ec").groupBy("slice").applyInPandas(run, "slice int, r int, c int, label long")
+        own = tuple(slice(f - l, f - l + tile) for f, l in zip(first, low))
+        y, x = np.nonzero(votes[own])
+        return pd.DataFrame({"slice": int(pdf["slice"].iloc[0]), "y": (y + first[0]).astype("int32"), "x": (x + first[1]).astype("int32"), "v": votes[own][y, x]})
+
+    tiles = with_tiles(at.select("slice", "y", "x").distinct(), ("y", "x"), tile, halo, shape)
+    votes = materialize(tiles.groupBy("slice", "_ty", "_tx").applyInPandas(run, "slice int, y int, x int, v double"), "votes")
+    each = F.broadcast  # a row of each slice
+    cut = votes.groupBy("slice").agg((F.sum("v") / cells).alias("_cut"))  # cells without a row are 0
+    if factor:
+        gap = votes.join(each(cut), "slice").groupBy("slice", "_cut").agg(F.sum((F.col("v") - F.col("_cut")) ** 2).alias("q"), (cells - F.count("*")).alias("rest"))
+        cut = gap.select("slice", (F.col("_cut") + factor * F.sqrt((F.col("q") + F.col("rest") * F.col("_cut") ** 2) / cells)).alias("_cut"))
+    high = votes.join(each(cut.where("_cut >= 0")), "slice").where("v > _cut").select("slice", F.lit(0).alias("z"), "y", "x")
+    comp = components(high, 6, ("slice",))
+    kept = ranked(comp.groupBy("slice", "comp").count().where(F.col("count") > min_area), ["comp"], "label", ("slice",)).select("slice", "comp", F.col("label").cast("long").alias("label"))
+    out = at.join(comp.join(kept, ["slice", "comp"]).select("slice", "y", "x", "label"), ["slice", "y", "x"]).select("slice", "r", "c", "label")
+    if factor and factor < 0 and cells > min_area:  # where the cut is below 0 all cells are above it, and are one
+        out = out.union(at.join(each(cut.where("_cut < 0")), "slice").select("slice", "r", "c", F.lit(1).cast("long").alias("label")))
+    return out
